@@ -191,13 +191,19 @@ def words(text):
     return F.filter(F.split(col(text), r"\s+"), lambda w: w != "")
 
 
+def leading_words(text, n=3):
+    """The first n whitespace tokens; the rest of the text is not split."""
+    parts = F.split(F.regexp_replace(col(text), r"^\s+", ""), r"\s+", n + 1)
+    return F.slice(F.filter(parts, lambda w: w != ""), 1, n)
+
+
 def entity(text, missing="None"):
-    w = words(text)
+    w = leading_words(text, 1)
     return F.when(F.size(w) > 0, w[0]).otherwise(F.lit(missing))
 
 
 def granular_sector(text, stop_words=SCORING_STOP_WORDS, missing="None"):
-    w = words(text)
+    w = leading_words(text, 3)
     joins = (F.size(w) > 2) & w[2].rlike(r"^\p{Lu}") & ~w[2].isin(*stop_words)
     return (
         F.when(F.size(w) < 2, F.lit(missing))
@@ -208,7 +214,7 @@ def granular_sector(text, stop_words=SCORING_STOP_WORDS, missing="None"):
 
 def cleaned_entity(text):
     """First three words without verbs in -ing, plurals in -s (unless title case) and titles."""
-    first = F.slice(words(text), 1, 3)
+    first = leading_words(text, 3)
 
     def title_case(w):
         return w.rlike(r"^\P{L}*\p{Lu}\p{Ll}*(\P{L}+\p{Lu}\p{Ll}*)*\P{L}*$")
@@ -252,6 +258,14 @@ def text_tokens(text):
     return F.regexp_extract_all(normalised_text(text), F.lit(WORD_PATTERN), F.lit(0))
 
 
+def first_word(text):
+    return F.regexp_extract(normalised_text(text), WORD_PATTERN, 0)
+
+
+def last_word(text):
+    return F.reverse(F.regexp_extract(F.reverse(normalised_text(text)), WORD_PATTERN, 0))
+
+
 def md5_bucket(text, n):
     return F.conv(F.substring(F.md5(col(text)), 1, 8), 16, 10).cast("long") % n
 

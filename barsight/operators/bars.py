@@ -174,37 +174,31 @@ def features_with_path(bars, headlines=None, first_half=False):
     return df.select("session", *BASELINE_COLUMNS, *PATH_COLUMNS)
 
 
-def _field(name):
-    return lambda b: b[name]
-
-
-def _minus(c):
-    return lambda x: x - c
-
-
-def _over(c):
-    return lambda x: x / c
-
-
-def _array_mean(values):
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
+def _standardised(name):
+    return lambda b: (b[name] - F.col(f"_m_{name}")) / F.col(f"_s_{name}")
 
 
 def pad_sequences(bars, length=50):
-    """Per session the first ``length`` bars as arrays, padded with the last bar, z-scored."""
-    bar = F.struct("bar_ix", "open", "high", "low", "close")
-    kept = F.slice(F.sort_array(F.collect_list(bar)), 1, length)
-    seq = bars.groupBy("session").agg(kept.alias("s"))
-    short = F.greatest(F.lit(length) - F.size("s"), F.lit(0))
-    seq = seq.withColumn("s", F.concat("s", F.array_repeat(F.element_at("s", -1), short)))
+    """Per session the first ``length`` bars as arrays, padded with the last bar, z-scored.
+
+    Mean and deviation count the padded bar as often as it is repeated.
+    """
     names = ("open", "high", "low", "close")
-    for name in names:
-        values = F.transform("s", _field(name))
-        mean = _array_mean(values)
-        centred = F.transform(values, _minus(mean))
-        std = F.sqrt(_array_mean(F.transform(centred, lambda x: x * x))) + 1e-8
-        seq = seq.withColumn(name, F.transform(centred, _over(std)))
-    return seq.select("session", *names)
+    df = with_positions(first_bars(bars, length))
+    short = F.lit(length) - F.count(F.lit(1))
+    aggs = [
+        F.sort_array(F.collect_list(F.struct("bar_ix", *names))).alias("s"),
+        short.cast("int").alias("short"),
+    ]
+    for c in names:
+        last = F.max_by(c, "bar_ix")
+        mean = (F.sum(c) + short * last) / length
+        square = (F.sum(F.col(c) * F.col(c)) + short * last * last) / length
+        aggs.append(mean.alias(f"_m_{c}"))
+        aggs.append((F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))) + 1e-8).alias(f"_s_{c}"))
+    seq = df.groupBy("session").agg(*aggs)
+    full = F.concat("s", F.array_repeat(F.element_at("s", -1), F.col("short")))
+    return seq.select("session", *[F.transform(full, _standardised(c)).alias(c) for c in names])
 
 
 def normalised_paths(bars):

@@ -5,6 +5,8 @@ from pyspark.sql import Window as W, functions as F
 from barsight.functions.scalars import (
     EPS,
     decay_weight,
+    first_word,
+    last_word,
     md5_bucket,
     sentiment_sign,
     text_tokens,
@@ -301,36 +303,39 @@ def session_grams(headlines, ngram_max=2):
     Pairs that cross from one headline into the next are found from the outer words of
     the headlines: inside a bar by a lag, between bars from a table of one row per bar.
     """
-    h = headlines.select(
-        "session", "bar_ix", "event_id", text_tokens("headline").alias("tok")
-    ).where(F.size("tok") > 0)
+    # one row per headline, its words held once
+    tok = headlines.select("session", F.explode(F.array(text_tokens("headline"))).alias("tok"))
     size = F.size("tok")
     grams = F.col("tok")
     if ngram_max >= 2:
         pairs = F.zip_with(
-            F.slice("tok", 1, size - 1), F.slice("tok", 2, size), lambda a, b: F.concat_ws(" ", a, b)
+            F.slice("tok", 1, F.greatest(size - 1, F.lit(0))),
+            F.slice("tok", 2, size),
+            lambda a, b: F.concat_ws(" ", a, b),
         )
-        grams = F.concat("tok", F.filter(pairs, lambda p: p.contains(" ")))
-    inner = h.select("session", F.explode(grams).alias("gram"))
+        grams = F.concat("tok", pairs)
+    inner = tok.select("session", F.explode(grams).alias("gram"))
     if ngram_max < 2:
         return inner
-    ends = h.select(
-        "session",
-        "bar_ix",
-        "event_id",
-        F.col("tok")[0].alias("first"),
-        F.element_at("tok", -1).alias("last"),
-    )
-    in_bar = W.partitionBy("session", "bar_ix").orderBy("event_id")
-    ends = ends.withColumn("before", F.lag("last").over(in_bar))
-    bars = ends.groupBy("session", "bar_ix").agg(
-        F.max_by("last", "event_id").alias("last"), F.min_by("first", "event_id").alias("first")
+    in_bar = W.partitionBy("session", "bar_ix")
+    by_event = in_bar.orderBy("event_id")
+    ends = (
+        headlines.select(
+            "session",
+            "bar_ix",
+            "event_id",
+            first_word("headline").alias("first"),
+            last_word("headline").alias("last"),
+        )
+        .where("first <> ''")
+        .withColumn("before", F.lag("last").over(by_event))
+        .withColumn("bar_last", F.last("last").over(by_event.rowsBetween(0, W.unboundedFollowing)))
     )
-    across = bars.withColumn("before", F.lag("last").over(by_bar()))
+    starts = ends.where("before is null").withColumn("before", F.lag("bar_last").over(by_bar()))
     joined = lambda df: df.where("before is not null").select(
         "session", F.concat_ws(" ", "before", "first").alias("gram")
     )
-    return inner.unionByName(joined(ends)).unionByName(joined(across))
+    return inner.unionByName(joined(ends)).unionByName(joined(starts))
 
 
 def hashed_fingerprint(headlines, buckets=32, ngram_max=2):

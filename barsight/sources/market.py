@@ -47,16 +47,22 @@ class Market:
     def events(self):
         return events_to_sentiments(self.table("events"), self.rows("supplier"))
 
+    def spread_events(self):
+        """Events over all cores even if their file is a single scan task."""
+        raw = self.table("events")
+        cores = self.spark.sparkContext.defaultParallelism
+        if raw.rdd.getNumPartitions() < cores:
+            raw = raw.repartition(cores, "event_id")
+        return events_to_sentiments(raw, self.rows("supplier"))
+
     def headlines(self):
-        return attach_headlines(
-            self.events().select("event_id", "session", "bar_ix"),
-            self.table("documents"),
-            self.rows("documents"),
-        )
+        return self.sentiments().select("event_id", "session", "bar_ix", "headline")
 
     def sentiments(self):
         """Events with their headline text."""
-        return attach_headlines(self.events(), self.table("documents"), self.rows("documents"))
+        return attach_headlines(
+            self.spread_events(), self.table("documents"), self.rows("documents")
+        )
 
 
 def split_of(session):
