@@ -77,9 +77,11 @@ def _cuts(df, by, value, parts=64):
     )
 
 
-def value_positions(df, by, value):
+def value_positions(df, by, value, weight=None):
     """Distinct values of each group with their count and the rows below them.
 
+    With ``weight`` a row counts as often as its weight says (0 only asks for a place).
+
     Columns: ``by``, value, n (rows with it), below (rows with a smaller value), total.
     Ties collapse first; cut points of a bounded sketch give the buckets.
     """
@@ -87,7 +89,7 @@ def value_positions(df, by, value):
     values = (
         df.where(col(value).isNotNull())
         .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     )
     cuts = _cuts(values, by, value)
     placed = (values.join(cuts, by) if by else values.crossJoin(F.broadcast(cuts))).withColumn(

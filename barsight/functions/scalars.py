@@ -259,11 +259,18 @@ def text_tokens(text):
 
 
 def first_word(text):
-    return F.regexp_extract(normalised_text(text), WORD_PATTERN, 0)
+    """First token; only its own characters are normalised unless that leaves no token."""
+    raw = F.regexp_extract(col(text), WORD_PATTERN, 0)
+    word = F.regexp_extract(normalised_text(raw), WORD_PATTERN, 0)
+    return F.when(word != "", word).otherwise(
+        F.regexp_extract(normalised_text(text), WORD_PATTERN, 0)
+    )
 
 
 def last_word(text):
-    return F.reverse(F.regexp_extract(F.reverse(normalised_text(text)), WORD_PATTERN, 0))
+    back = lambda c: F.reverse(F.regexp_extract(F.reverse(c), WORD_PATTERN, 0))
+    word = back(normalised_text(back(col(text))))
+    return F.when(word != "", word).otherwise(back(normalised_text(text)))
 
 
 def md5_bucket(text, n):

@@ -47,13 +47,13 @@ class Market:
     def events(self):
         return events_to_sentiments(self.table("events"), self.rows("supplier"))
 
-    def spread_events(self):
-        """Events over all cores even if their file is a single scan task."""
-        raw = self.table("events")
+    def spread(self, name, key):
+        """A table over all cores even if its file is a single scan task."""
+        raw = self.table(name)
         cores = self.spark.sparkContext.defaultParallelism
         if raw.rdd.getNumPartitions() < cores:
-            raw = raw.repartition(cores, "event_id")
-        return events_to_sentiments(raw, self.rows("supplier"))
+            raw = raw.repartition(cores, key)
+        return raw
 
     def headlines(self):
         return self.sentiments().select("event_id", "session", "bar_ix", "headline")
@@ -61,7 +61,7 @@ class Market:
     def sentiments(self):
         """Events with their headline text."""
         return attach_headlines(
-            self.spread_events(), self.table("documents"), self.rows("documents")
+            self.events(), self.spread("documents", "doc_id"), self.rows("documents")
         )
 
 

@@ -31,7 +31,7 @@ def main(parts):
             else:
                 verdict = "rows" if len(got) else "rows-EMPTY"
         except Exception as e:
-            spent, verdict, got = time.time() - start, "ERROR " + str(e)[:900], []
+            spent, verdict, got = time.time() - start, "ERROR " + " ".join(str(e).split())[:400], []
         bad += verdict not in ("ok", "rows")
         print(f"{spent:6.1f}s {name:36s} {len(got):6d} {verdict}", flush=True)
     print("bad:", bad)
