@@ -21,7 +21,7 @@ def sharpe_from_sums(n, total, squares):
 def paired_t(diff):
     """Aggregate: t statistic of fold differences against zero (sample std)."""
     n, mean, std = F.count(diff), F.avg(diff), F.stddev_samp(diff)
-    flat = F.signum(mean) * 1e6
+    flat = F.signum(F.round(mean, 12)) * 1e6
     return F.when(n < 2, 0.0).when(std > EPS, mean / (std / F.sqrt(n))).otherwise(flat)
 
 
