@@ -5,8 +5,6 @@ order, bucket offsets are summed (few rows), and only rows of one bucket meet
 in one task.
 """
 
-from functools import reduce
-
 from pyspark.sql import Window as W, functions as F
 
 from barsight.functions.scalars import col
@@ -16,11 +14,6 @@ SMALL_GROUP = 1_000_000
 HASH_PREFIX = 3
 
 
-def _match(left, right, keys):
-    cond = [left[k].eqNullSafe(right[k]) for k in keys]
-    return reduce(lambda a, b: a & b, cond) if cond else F.lit(True)
-
-
 def bucket_rank(df, by, bucket, order, out="rank", total=None):
     """1-based row number inside ``by`` along (bucket, order).
 

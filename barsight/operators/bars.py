@@ -42,25 +42,22 @@ PATH_COLUMNS = [
 def with_bar_returns(bars):
     """Adds prev_close and ret; the first bar of a session has return 0."""
     prev = F.lag("close").over(by_bar())
-    return bars.withColumn("prev_close", prev).withColumn(
-        "ret", zero_if_null(F.col("close") / F.col("prev_close") - 1.0)
+    return bars.withColumns(
+        {"prev_close": prev, "ret": zero_if_null(F.col("close") / prev - 1.0)}
     )
 
 
 def with_running_extremes(bars):
     run = by_bar().rowsBetween(W.unboundedPreceding, 0)
-    return bars.withColumn("run_max", F.max("close").over(run)).withColumn(
-        "run_min", F.min("close").over(run)
+    return bars.withColumns(
+        {"run_max": F.max("close").over(run), "run_min": F.min("close").over(run)}
     )
 
 
 def with_positions(bars):
     """Zero-based position from the start (i), from the end (rev) and session length (n)."""
-    return (
-        bars.withColumn("i", F.row_number().over(by_bar()) - 1)
-        .withColumn("n", F.count(F.lit(1)).over(whole()))
-        .withColumn("rev", F.col("n") - 1 - F.col("i"))
-    )
+    i, n = F.row_number().over(by_bar()) - 1, F.count(F.lit(1)).over(whole())
+    return bars.withColumns({"i": i, "n": n, "rev": n - 1 - i})
 
 
 def last_bars(bars, k):
@@ -119,10 +116,12 @@ def first_half_features(bars, headlines=None):
 
 def _path_prepared(bars):
     df = with_running_extremes(with_positions(with_bar_returns(bars)))
-    return (
-        df.withColumn("body", F.when(F.col("i") > 0, F.col("ret")))
-        .withColumn("lc", log_floor("close"))
-        .withColumn("half", F.floor(F.col("n") / 2))
+    return df.withColumns(
+        {
+            "body": F.when(F.col("i") > 0, F.col("ret")),
+            "lc": log_floor("close"),
+            "half": F.floor(F.col("n") / 2),
+        }
     )
 
 

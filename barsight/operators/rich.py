@@ -42,11 +42,8 @@ RICH_COLUMNS = (
 
 
 def _prepare(bars):
-    df = with_running_extremes(with_positions(bars))
-    df = df.withColumn("lc", log_floor("close"))
+    df = with_running_extremes(with_positions(bars)).withColumn("lc", log_floor("close"))
     df = df.withColumn("r", F.col("lc") - F.lag("lc").over(by_bar()))
-    for k in (1, 2, 3):
-        df = df.withColumn(f"r_{k}", F.lag("r", k).over(by_bar()))
     hl = F.log(F.greatest("high", F.lit(EPS)) / F.greatest("low", F.lit(EPS)))
     top, bottom = F.greatest("open", "close"), F.least("open", "close")
     floor = {c: log_floor(c) for c in ("open", "high", "low", "close")}
@@ -57,16 +54,19 @@ def _prepare(bars):
     ) * (floor["low"] - floor["close"])
     m = F.col("n") - 1
     spread = F.greatest(m - 1, F.lit(1))
-    return (
-        df.withColumn("hl2", hl * hl)
-        .withColumn("gk", F.greatest(gk, F.lit(0.0)))
-        .withColumn("rs", F.greatest(rs, F.lit(0.0)))
-        .withColumn("rng", F.greatest(F.col("high") - F.col("low"), F.lit(0.0)))
-        .withColumn("body", F.abs(F.col("close") - F.col("open")))
-        .withColumn("upper", F.col("high") - top)
-        .withColumn("lower", bottom - F.col("low"))
-        .withColumn("half", F.floor(F.col("n") / 2))
-        .withColumn("recency", F.exp(-2.0 + 2.0 * (F.col("i") - 1) / spread))
+    return df.withColumns(
+        {
+            **{f"r_{k}": F.lag("r", k).over(by_bar()) for k in (1, 2, 3)},
+            "hl2": hl * hl,
+            "gk": F.greatest(gk, F.lit(0.0)),
+            "rs": F.greatest(rs, F.lit(0.0)),
+            "rng": F.greatest(F.col("high") - F.col("low"), F.lit(0.0)),
+            "body": F.abs(F.col("close") - F.col("open")),
+            "upper": F.col("high") - top,
+            "lower": bottom - F.col("low"),
+            "half": F.floor(F.col("n") / 2),
+            "recency": F.exp(-2.0 + 2.0 * (F.col("i") - 1) / spread),
+        }
     )
 
 

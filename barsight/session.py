@@ -16,6 +16,8 @@ def build_session(app_name="barsight", master=None, **conf):
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # call-site capture makes building large column lists several times slower
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F, Window as W
 from barsight.functions.ranking import bucket_rank, ntile_of
 
 BARS_PER_SESSION = 100
-# A (session, day) group above this many ticks gets order-key sub-buckets.
-HOT_GROUP_ROWS = 64_000_000
+# A session above this many ticks is ranked in buckets instead of one window partition.
+HOT_SESSION_ROWS = 4_000_000
 
 
 class Market:
@@ -65,42 +65,50 @@ class Market:
         )
 
 
+def _rank_whole(ticks):
+    w = W.partitionBy("session")
+    return ticks.withColumns(
+        {
+            "tick": F.row_number().over(w.orderBy(*TICK_ORDER)),
+            "n_ticks": F.count(F.lit(1)).over(w),
+        }
+    )
+
+
+def _rank_by_bucket(ticks, n, hot_rows):
+    top = ticks.agg(F.max("order_key")).first()[0]
+    pieces = min(1024, 1 + n // (256 * hot_rows))
+    part = F.floor(F.col("order_key") * pieces / ((top or 0) + 1))
+    bucket = F.struct(F.col("day").alias("d"), part.alias("p"))
+    return bucket_rank(ticks, ["session"], bucket, TICK_ORDER, out="tick", total="n_ticks")
+
+
 def split_of(session):
     tail = F.col(session) % 10
     return F.when(tail <= 5, "train").when(tail <= 7, "public").otherwise("private")
 
 
-def ticks_to_bars(ticks, hot_rows=HOT_GROUP_ROWS):
+TICK_ORDER = ["day", "order_key", "line", "part", "px"]
+
+
+def ticks_to_bars(ticks, hot_rows=HOT_SESSION_ROWS):
     """Cut each session's ordered ticks into 100 equal bars, first price scaled to 1.
 
-    The rank inside a session is built from per-day counts, so no task ever holds a
-    whole session; a day that is itself too large is split along the order key.
+    Ordinary sessions are ranked by a window on one shuffle that the bars then reuse. A
+    session above ``hot_rows`` never sits in one task: its ranks come from counts of
+    (day, order-key range) buckets.
     """
     n = ticks.count()
-    part = F.lit(0)
-    if n > hot_rows:
-        hot = (
-            ticks.groupBy("session", "day")
-            .count()
-            .where(F.col("count") > hot_rows)
-            .select("session", "day", F.lit(True).alias("_hot"))
+    if n <= hot_rows:
+        ranked = _rank_whole(ticks)
+    else:
+        # at most n / hot_rows sessions can be this large, so the list is small
+        hot = F.broadcast(
+            ticks.groupBy("session").count().where(F.col("count") > hot_rows).select("session")
+        )
+        ranked = _rank_whole(ticks.join(hot, "session", "left_anti")).unionByName(
+            _rank_by_bucket(ticks.join(hot, "session", "left_semi"), n, hot_rows)
         )
-        top = ticks.agg(F.max("order_key")).first()[0] + 1
-        pieces = 1 + n // hot_rows
-        # at most n / hot_rows groups can be this large, so the list is small
-        ticks = ticks.join(F.broadcast(hot), ["session", "day"], "left")
-        part = F.when(
-            F.col("_hot"), F.floor(F.col("order_key") * pieces / top)
-        ).otherwise(0)
-    bucket = F.struct(F.col("day").alias("d"), part.cast("long").alias("p"))
-    ranked = bucket_rank(
-        ticks,
-        ["session"],
-        bucket,
-        ["day", "order_key", "line", "part", "px"],
-        out="tick",
-        total="n_ticks",
-    )
     bars = (
         ranked.withColumn("bar_ix", ntile_of("tick", "n_ticks", BARS_PER_SESSION))
         .groupBy("session", "bar_ix")
