@@ -51,9 +51,10 @@ def tau_name(q):
 def with_variable(i, config):
     mode = config.mode
     variable = {"p_linear": "lean", "p_tanh": "lean", "mu_scaled": "mu"}.get(mode)
+    numbers = {k: v if isinstance(v, (str, bool)) else float(v) for k, v in asdict(config).items()}
     return {
         "config_id": i,
-        **asdict(config),
+        **numbers,
         "variable": variable or tau_name(config.tau_quantile),
         "simplicity": SIMPLICITY[mode],
     }
