@@ -38,12 +38,18 @@ def shared_dir(spark):
     return current
 
 
-def cut_lineage(df):
-    """Materialise in the shared folder so lost executors only cost a re-read."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_path(spark, name):
     """A fresh path in the shared folder for a sink."""
     return os.path.join(shared_dir(spark), "sinks", f"{name}-{os.urandom(6).hex()}")
+
+
+def cut_lineage(df):
+    """Write once to the shared folder and read back.
+
+    Later steps re-read columns from files, so a lost executor costs no recomputation, and
+    the row sizes are known when joins are planned.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, "lineage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
