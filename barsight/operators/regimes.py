@@ -12,7 +12,6 @@ from barsight.operators.hmm import (
     posteriors,
     responsibilities,
 )
-from barsight.operators.linear import by_fold  # noqa: F401
 from barsight.operators.sizing import Sizing, apply_sizing
 from barsight.session import cut_lineage
 
