@@ -2,7 +2,7 @@
 
 import os
 
-from barsight.llm import exact_dedup, near_dedup
+from barsight.llm import exact_dedup, near_dedup, packing, substring_dedup
 
 QUERIES, ORACLE = {}, {}
 
@@ -44,3 +44,33 @@ def op9(spark, path):
 )
 def op10(spark, path):
     return exact_dedup.exact_groups(table(spark, path, "documents"))
+
+
+@query(
+    "op1_substring_dedup",
+    r"""
+    WITH w AS (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+    ), t AS (
+      SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13
+    ), g AS (
+      SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(words[i:i + 12], ' ')) AS low FROM t
+    ), gone AS (
+      SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place FROM g WHERE low < doc_id
+    ), per AS (
+      SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id
+    )
+    SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+           sha256(coalesce(array_to_string(CASE WHEN places IS NULL THEN words ELSE
+             [words[x] FOR x IN range(1, len(words) + 1) IF NOT list_contains(places, x)] END, ' '), ''))
+             AS kept_sha256
+    FROM w LEFT JOIN per USING (doc_id)
+    """,
+)
+def op1(spark, path):
+    return substring_dedup.remove_repeats(table(spark, path, "documents"))
+
+
+@query("op2_pack")
+def op2(spark, path):
+    return packing.pack(table(spark, path, "documents"))
