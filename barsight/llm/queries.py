@@ -2,7 +2,7 @@
 
 import os
 
-from barsight.llm import exact_dedup, near_dedup, packing, substring_dedup
+from barsight.llm import exact_dedup, imatch, near_dedup, packing, quality, substring_dedup
 
 QUERIES, ORACLE = {}, {}
 
@@ -74,3 +74,13 @@ def op1(spark, path):
 @query("op2_pack")
 def op2(spark, path):
     return packing.pack(table(spark, path, "documents"))
+
+
+@query("op5_quality")
+def op5(spark, path):
+    return quality.quality_scores(table(spark, path, "documents"), table(spark, path, "labels"))
+
+
+@query("op8_fingerprints")
+def op8(spark, path):
+    return imatch.fingerprints(table(spark, path, "documents"))
