@@ -2,7 +2,7 @@
 
 import os
 
-from barsight.llm import exact_dedup, imatch, near_dedup, packing, quality, substring_dedup
+from barsight.llm import class_lm, exact_dedup, imatch, near_dedup, packing, quality, substring_dedup
 
 QUERIES, ORACLE = {}, {}
 
@@ -84,3 +84,8 @@ def op5(spark, path):
 @query("op8_fingerprints")
 def op8(spark, path):
     return imatch.fingerprints(table(spark, path, "documents"))
+
+
+@query("op7_class_lm")
+def op7(spark, path):
+    return class_lm.text_scores(table(spark, path, "documents"))
