@@ -2,7 +2,7 @@
 
 import os
 
-from barsight.llm import class_lm, exact_dedup, imatch, near_dedup, packing, quality, substring_dedup
+from barsight.llm import class_lm, exact_dedup, html_main, imatch, near_dedup, packing, quality, substring_dedup
 
 QUERIES, ORACLE = {}, {}
 
@@ -89,3 +89,8 @@ def op8(spark, path):
 @query("op7_class_lm")
 def op7(spark, path):
     return class_lm.text_scores(table(spark, path, "documents"))
+
+
+@query("op4_html_main_text")
+def op4(spark, path):
+    return html_main.extract(table(spark, path, "pages"))
