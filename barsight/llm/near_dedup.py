@@ -12,6 +12,8 @@ from barsight.session import cut_lineage
 
 SEED = 7
 GROWTH = 8
+ORDERS = 3
+STEPS = 2
 LISTED = 1_000_000  # ids of eight bytes that are broadcast at most
 
 
@@ -112,7 +114,7 @@ def _alike(batches, least):
         yield pa.record_batch({"p": batch.column(0).filter(good), "m": batch.column(1).filter(good)})
 
 
-def near_groups(docs, id_col="doc_id", text_col="text", k=5, percent=80, bands=32, rows=4):
+def near_groups(docs, id_col="doc_id", text_col="text", k=5, percent=80, bands=40, rows=6):
     """One row per input row: id, n_shingles, component_id, kept.
 
     A text's set holds its distinct k-word shingles (words ``[^\\x20\\x09-\\x0D]+`` with A-Z in
@@ -121,15 +123,17 @@ def near_groups(docs, id_col="doc_id", text_col="text", k=5, percent=80, bands=3
 
     Rows with equal sets become one class, so copies are never expanded. Classes get
     ``bands * rows`` universal-hash minima; a link at 0.8 shares no band with a probability of
-    (1 - 0.8^rows)^bands, 5e-8 by default. Each pair of classes that share a bucket is either found
-    inside one component already or tested: by signature (0.18 below the threshold, over five
-    standard deviations), then on both full sets.
+    (1 - 0.8^rows)^bands, 5e-6 by default. Each pair of classes that share a bucket is either found
+    inside one component already or tested: by signature (five standard deviations below the
+    threshold), then on both full sets.
 
-    A bucket is never expanded into its pairs at once. In round 0 all its members meet the one
-    with the smallest hash; in round t those whose hash is among the lowest ``8^t / size`` share
-    meet the members behind them, but only across components. A large group of near copies is one
-    component after a round or two, and then makes no more pairs. Rounds stop when no bucket has
-    two components and untested members.
+    A bucket is never expanded into its pairs at once. First, ORDERS times, every class meets one
+    class of each other component: the smallest id among the pivots of its buckets, a pivot being
+    the bucket's first member in a random order. Then, in round t, members whose hash is among the
+    lowest ``8^t / size`` share of their bucket meet the members behind them, but only across
+    components, for STEPS rounds: enough for every small bucket, and a bounded number of pairs per
+    member of a large one. Members of large buckets that are still apart then find each other by
+    their rarest shingles (``_by_prefix``), which misses no link among them.
 
     Empty and null texts have size 0 and are linked with nothing; a null id gives a null
     component and is kept. Rows that repeat an id share its outcome. Other columns are not read.
@@ -147,57 +151,80 @@ def near_groups(docs, id_col="doc_id", text_col="text", k=5, percent=80, bands=3
     firsts = full.join(classes.select(F.col("cid").alias("id")), "id", "left_semi").select(F.col("id").alias("cid"), "bands", "sign")
     firsts = cut_lineage(firsts.dropDuplicates(["cid"]))
 
-    spread = firsts.select("cid", F.explode("bands").alias("bucket")).withColumn("u", F.shiftrightunsigned(F.xxhash64("cid"), 1))
-    buckets = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("low")).where("n > 1")
-    members = cut_lineage(spread.join(buckets, "bucket"))
-    wanted = members.select("cid").distinct()
+    def hashed(seed):
+        return F.shiftrightunsigned(F.xxhash64(F.col("cid"), F.lit(seed)), 1)
+
+    spread = firsts.select("cid", F.explode("bands").alias("bucket"))
+    orders = [f"low{i}" for i in range(ORDERS)]
+    buckets = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.min(hashed(i)).alias(c) for i, c in enumerate(orders)])
+    members = cut_lineage(spread.join(buckets.where("n > 1"), "bucket"))
+    signs = firsts.select("cid", "sign")
     sets = None
     labels = None
-    done = F.lit(None).cast("long")
-    step = 0
-    while True:
-        state = members if labels is None else members.join(labels, F.col("cid") == F.col("node"), "left")
-        state = state.withColumn("comp", F.coalesce(F.col("root"), F.col("cid")) if labels is not None else F.col("cid"))
-        share = F.floor(F.lit(float(2**63)) * F.least(F.lit(1.0), F.lit(float(GROWTH**step)) / F.col("n")))
-        reach = F.col("low") if step == 0 else F.greatest(F.col("low"), share)
-        state = state.withColumn("reach", reach.cast("long")).select("bucket", "cid", "u", "n", "low", "comp", "reach")
-        if step:
-            before = F.floor(F.lit(float(2**63)) * F.least(F.lit(1.0), F.lit(float(GROWTH ** (step - 1))) / F.col("n")))
-            done = F.greatest(F.col("low"), before if step > 1 else F.col("low")).cast("long")
-            open_ = state.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-            state = cut_lineage(state.join(open_.select("bucket"), "bucket", "left_semi").withColumn("done", done).where("u > done"))
-            # rows up to ``done`` have met every other member
-            if state.isEmpty():
-                break
-        pivots = state.where("u <= reach").select("bucket", F.col("cid").alias("p"), F.col("u").alias("pu"), F.col("comp").alias("pc"))
-        pairs = (
-            state.join(pivots, "bucket")
-            .where("comp <> pc and (u > pu or (u = pu and cid > p))")
-            .select("p", F.col("cid").alias("m"))
-            .distinct()
-        )
-        signs = firsts.select("cid", "sign")
+
+    def state():
+        if labels is None:
+            return members.withColumn("comp", F.col("cid"))
+        return members.join(labels, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cid")).drop("node", "root")
+
+    def sets_of():
+        """Full sets of the classes that share a bucket with another, written once."""
+        nonlocal sets
+        if sets is None:
+            wanted = members.select("cid").distinct()
+            sets = cut_lineage(_pick(text, wanted).mapInArrow(partial(_sets, k=k), "cid long, grams array<long>").dropDuplicates(["cid"]))
+        return sets
+
+    def merge(pairs):
+        """Test pairs (p, m) by signature and on full sets; links that hold merge components."""
+        nonlocal labels
         tested = (
             pairs.join(signs.select(F.col("cid").alias("p"), F.col("sign").alias("ps")), "p")
             .join(signs.select(F.col("cid").alias("m"), F.col("sign").alias("ms")), "m")
             .select("p", "m", "ps", "ms")
-            .mapInArrow(partial(_alike, least=percent / 100 - 0.18), "p long, m long")
+            .mapInArrow(partial(_alike, least=percent / 100 - 5 * (0.16 / (bands * rows)) ** 0.5), "p long, m long")
         )
         tested = cut_lineage(tested)
-        if not tested.isEmpty():
-            if sets is None:
-                sets = cut_lineage(_pick(text, wanted).mapInArrow(partial(_sets, k=k), "cid long, grams array<long>").dropDuplicates(["cid"]))
-            both = F.size(F.array_intersect("pg", "mg"))
-            links = (
-                tested.join(sets.select(F.col("cid").alias("p"), F.col("grams").alias("pg")), "p")
-                .join(sets.select(F.col("cid").alias("m"), F.col("grams").alias("mg")), "m")
-                .where(100 * both.cast("long") >= percent * (F.size("pg") + F.size("mg") - both).cast("long"))
-                .select(F.col("p").alias("a"), F.col("m").alias("b"))
-            )
-            if labels is not None:
-                links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            labels = components(links)
+        if tested.isEmpty():
+            return
+        both = F.size(F.array_intersect("pg", "mg"))
+        links = (
+            tested.join(sets_of().select(F.col("cid").alias("p"), F.col("grams").alias("pg")), "p")
+            .join(sets_of().select(F.col("cid").alias("m"), F.col("grams").alias("mg")), "m")
+            .where(100 * both.cast("long") >= percent * (F.size("pg") + F.size("mg") - both).cast("long"))
+            .select(F.col("p").alias("a"), F.col("m").alias("b"))
+        )
+        if labels is not None:
+            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        labels = components(links)
+
+    for seed, low in enumerate(orders):
+        now = state()
+        pivots = now.where(hashed(seed) == F.col(low)).select("bucket", F.col("cid").alias("p"), F.col("comp").alias("pc"))
+        merge(now.join(pivots, "bucket").where("comp <> pc").groupBy(F.col("cid").alias("m"), "pc").agg(F.min("p").alias("p")).select("p", "m"))
+
+    step = 0
+    whole = F.lit(float(2**63))
+    now = state().withColumn("u", hashed(0)).withColumn("done", F.lit(-1).cast("long"))
+    while True:
+        # buckets in one component are settled; rows up to ``done`` have met every other member
+        now = cut_lineage(_open(now).where("u > done"))
+        if now.isEmpty():
+            break
+        if step == STEPS:
+            merge(_by_prefix(now.select("cid", "comp").distinct(), sets_of(), percent))
+            break
+        share = F.floor(whole * F.least(F.lit(1.0), F.lit(float(GROWTH**step)) / F.col("n"))).cast("long")
+        reached = now.withColumn("reach", F.greatest("low0", share))
+        pivots = reached.where("u <= reach").select("bucket", F.col("cid").alias("p"), F.col("u").alias("pu"), F.col("comp").alias("pc"))
+        merge(reached.join(pivots, "bucket").where("comp <> pc and (u > pu or (u = pu and cid > p))").select("p", F.col("cid").alias("m")).distinct())
         step += 1
+        now = reached.withColumn("done", F.col("reach")).drop("reach", "comp").select("bucket", "cid", "n", "low0", "u", "done")
+        if labels is not None:
+            now = now.join(labels, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cid")).drop("node", "root")
+        else:
+            now = now.withColumn("comp", F.col("cid"))
+
     of_class = classes if labels is None else classes.join(labels, classes["cid"] == labels["node"], "left")
     of_class = of_class.select("key1", "key2", "size", (F.coalesce("root", "cid") if labels is not None else F.col("cid")).alias("component_id"))
     rest = signed.where("size = 0 or id is null").select("id", "size", F.col("id").alias("component_id"))
@@ -210,6 +237,40 @@ def near_groups(docs, id_col="doc_id", text_col="text", k=5, percent=80, bands=3
     )
 
 
+def _open(members):
+    """Members of the buckets that hold several components."""
+    found = members.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    return members.join(found.select("bucket"), "bucket", "left_semi")
+
+
+def _by_prefix(members, sets, percent):
+    """Pairs (p, m) of members of different components that may be linked, by their rarest shingles.
+
+    Shingles are ordered by how many members have them. Linked sets share one among the first
+    size - ceil(percent / 100 * size) + 1 of both; and if the first they share stands at places i
+    and j, the intersection is 1 + min(size_i - i, size_j - j) at most. Copies of one text share
+    their frequent shingles only at late places, which that bound rules out.
+    """
+    own = sets.join(members, "cid")
+    grams = own.select("cid", F.explode("grams").alias("gram"))
+    spread = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    order = grams.join(spread, "gram").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("order"))
+    size = F.size("order")
+    rows = own.select("cid", "comp").join(order, "cid")
+    rows = rows.select("cid", "comp", size.alias("size"), F.posexplode(F.slice("order", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1)))
+    rows = rows.where("col.n > 1").select("cid", "comp", "size", (F.col("pos") + 1).alias("at"), F.col("col.gram").alias("gram"))
+    left = cut_lineage(rows)
+    right = left.select("gram", *[F.col(c).alias(f"{c}2") for c in ("cid", "comp", "size", "at")])
+    most = 1 + F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))
+    return (
+        left.join(right, "gram")
+        .where((F.col("cid") < F.col("cid2")) & (F.col("comp") != F.col("comp2")))
+        .where((100 + percent) * most >= percent * (F.col("size") + F.col("size2")))
+        .select(F.col("cid").alias("p"), F.col("cid2").alias("m"))
+        .distinct()
+    )
+
+
 def _pick(text, ids):
     """Texts of the listed ids; the list is broadcast only while it is counted to be small."""
     ids = ids.withColumnRenamed("cid", "id")

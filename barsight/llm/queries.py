@@ -2,7 +2,20 @@
 
 import os
 
-from barsight.llm import class_lm, exact_dedup, html_main, imatch, near_dedup, packing, quality, substring_dedup
+from pyspark.sql import functions as F
+
+from barsight.llm import (
+    class_lm,
+    exact_dedup,
+    html_main,
+    imatch,
+    near_dedup,
+    packing,
+    pieces,
+    quality,
+    secret_scan,
+    substring_dedup,
+)
 
 QUERIES, ORACLE = {}, {}
 
@@ -94,3 +107,16 @@ def op7(spark, path):
 @query("op4_html_main_text")
 def op4(spark, path):
     return html_main.extract(table(spark, path, "pages"))
+
+
+@query("op3_pieces")
+def op3(spark, path):
+    return pieces.encode(table(spark, path, "documents"))
+
+
+@query("op6_secret_scan")
+def op6(spark, path):
+    found = secret_scan.scan(table(spark, path, "documents"))
+    return found.select(
+        "doc_id", "start", F.length("candidate").alias("length"), "occurrences", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret"
+    )
