@@ -19,7 +19,6 @@ MASK = "[SECRET]"
 TOKEN = r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.-]{0,40}[0-9])[A-Za-z0-9+/_.-]{11,}[A-Za-z0-9+/](?![A-Za-z0-9@])"
 KEYS = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credentials?|private[_-]?key"
 ASSIGNED = rf"(?i)(?:{KEYS})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"']{{6,}})"
-BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
 # Formats of issued credentials: what matches is a labelled true finding. Fixed values.
 FORMATS = [
     r"(?:AKIA|ASIA)[0-9A-Z]{16}",
@@ -47,7 +46,7 @@ def candidates(docs, id_col="doc_id", text_col="text"):
         F.concat(
             F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)),
             F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(1)),
-            F.regexp_extract_all(text, F.lit(BLOCK), F.lit(0)),
+            F.regexp_extract_all(text, F.lit("(?<![A-Za-z0-9])(?:" + "|".join(FORMATS) + ")(?![A-Za-z0-9])"), F.lit(0)),
         )
     )
     trimmed = F.array_distinct(F.transform(found, lambda c: F.regexp_replace(c, r"[.,;:!?)\]}>]+$", "")))
@@ -129,7 +128,7 @@ def scan(docs, id_col="doc_id", text_col="text", findings=None, sample=SAMPLE, t
     """One row per row of ``docs`` and distinct candidate: id, candidate, start, occurrences, score, is_secret.
 
     Candidates are runs of at least 12 key characters with a digit, values assigned to a
-    credential's name, and private-key headers. A random forest judges each by its length, kinds of
+    credential's name, and what has the format of an issued credential. A random forest judges each by its length, kinds of
     adjacent characters, coverage by the corpus's own words, likeness to paths and addresses, and
     the words beside its first occurrence (``start``, in code points from 1). It is trained on
     ``findings`` (columns candidate, left, right, label of 0 or 1), or on this table's candidates
