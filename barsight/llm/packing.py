@@ -151,8 +151,6 @@ def configuration(sizes, left, capacity):
                 break
             reach = grown
         trail.append((g, copies, before))
-        if reach >> room & 1 and len(trail) > 64:
-            break
     at = reach.bit_length() - 1
     out = {head: 1}
     for g, copies, before in reversed(trail):
