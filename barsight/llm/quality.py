@@ -14,7 +14,7 @@ HALF = 128  # bytes; a chunk is two halves, chunks overlap by one
 FILTERS = 24
 SAMPLE = 3000  # labelled rows that the network is fitted on, at most
 LONGEST = 200_000  # characters; longer texts are scored, not drawn for the sample
-EPOCHS = 12
+STEPS = 600  # of 64 texts each
 
 
 def laid_out(data, offsets):
@@ -76,7 +76,9 @@ def _gradients(buffer, at, label, net):
     error = (probability(x, net) - label) / len(label)
     back = error[:, None] * net["weight"][None, :]
     f = half.shape[1]
-    to_chunk = back[text, :f] / counts[text][:, None] + np.where(chunk == top[text], back[text, f:], 0)
+    at_top = (chunk == top[text]).astype(np.float32)  # neighbours share a half, so several chunks may be at the top
+    at_top /= np.add.reduceat(at_top, starts[:-1], axis=0)[text]
+    to_chunk = back[text, :f] / counts[text][:, None] + at_top * back[text, f:]
     to_half = np.zeros_like(half)
     source = np.where(left, first[:, None], second[:, None])
     column = np.broadcast_to(np.arange(f), source.shape)
@@ -90,7 +92,7 @@ def _gradients(buffer, at, label, net):
     return grad
 
 
-def fit(texts, labels, epochs=EPOCHS, filters=FILTERS, batch=64, rate=0.01, seed=3):
+def fit(texts, labels, steps=STEPS, filters=FILTERS, batch=64, rate=0.01, seed=3):
     """Adam on the log loss of whole texts. Without both labels the net gives their share."""
     rng = np.random.default_rng(seed)
     net = {
@@ -109,7 +111,7 @@ def fit(texts, labels, epochs=EPOCHS, filters=FILTERS, batch=64, rate=0.01, seed
     first = {k: np.zeros_like(v) for k, v in net.items()}
     second = {k: np.zeros_like(v) for k, v in net.items()}
     step = 0
-    for epoch in range(epochs):
+    while step < steps:
         order = rng.permutation(len(y))
         # neighbours of like length share a batch, batches come in random order
         groups = [order[i : i + 8 * batch] for i in range(0, len(order), 8 * batch)]
@@ -122,7 +124,7 @@ def fit(texts, labels, epochs=EPOCHS, filters=FILTERS, batch=64, rate=0.01, seed
                 data = np.frombuffer(b"".join(raw[i] for i in chosen), np.uint8)
                 grad = _gradients(*laid_out(data, offsets), y[chosen], net)
                 step += 1
-                pace = rate * (0.5 if epoch >= epochs // 2 else 1) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+                pace = rate * (0.5 if 2 * step >= steps else 1) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for k in net:
                     first[k] = 0.9 * first[k] + 0.1 * grad[k]
                     second[k] = 0.999 * second[k] + 0.001 * np.square(grad[k])
