@@ -1,12 +1,13 @@
 """Repeated passages: a count-min prefilter, then exact grouping of what it lets through."""
 
 import hashlib
+import zlib
 from functools import partial
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from barsight.llm.words import SECOND, Words, grams, mix, slices
 from barsight.session import cut_lineage
@@ -98,24 +99,84 @@ def _merged(batches, bits):
         )
 
 
+class Sketch:
+    """Merged bitmaps, compressed while they travel."""
+
+    def __init__(self, rows):
+        self.rows = rows
+
+    def __getstate__(self):
+        return self.rows.shape, zlib.compress(self.rows.tobytes(), 1)
+
+    def __setstate__(self, state):
+        shape, data = state
+        self.rows = np.frombuffer(zlib.decompress(data), np.uint8).reshape(shape)
+
+    def twice(self, h, bits):
+        """Whether all cells of a window count two or more."""
+        good = np.ones(len(h), bool)
+        for row in range(ROWS):
+            at = cells(h, row, bits)
+            good &= (self.rows[row][at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
+        return good
+
+
+def _settled(held):
+    """Windows of a task: those with a smaller id in the task go, the others are yet to be grouped.
+
+    The first come as one row per text (``gone``), the second as one row per window.
+    """
+    h, g, ids, place = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((ids, g, h))
+    h, g, ids, place = h[order], g[order], ids[order], place[order]
+    heads = np.ones(len(h), bool)
+    heads[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    low = ids[np.maximum.accumulate(np.where(heads, np.arange(len(h)), 0))]
+    open_ = ids == low
+    own, places = ids[~open_], place[~open_]
+    order = np.argsort(own, kind="stable")
+    own, places = own[order], places[order]
+    texts, starts = np.unique(own, return_index=True)
+    n, rest = int(open_.sum()), len(texts)
+
+    def column(values, kind):
+        return pa.concat_arrays([pa.array(values, kind), pa.nulls(rest, kind)])
+
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(own)), pa.int32()), pa.array(places, pa.int32()))
+    salt = (mix(texts.astype(np.uint64)) >> np.uint64(33)).astype(np.int32)
+    return pa.record_batch(
+        {
+            "h": column(h[open_].view(np.int64), pa.int64()),
+            "g": pa.array(np.concatenate([g[open_], salt]), pa.int32()),
+            "id": pa.array(np.concatenate([ids[open_], texts]), pa.int64()),
+            "place": column(place[open_], pa.int32()),
+            "gone": pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), lists]),
+        }
+    )
+
+
 def _estimated(batches, k, bits, sketch):
-    """Windows whose every cell says that they occur at least twice."""
+    """Windows whose every cell says that they occur at least twice, as far as a task can settle them."""
+    held, size = [], 0
     for batch in batches:
         ids = batch.column(1).to_numpy(zero_copy_only=False)
         for first, hashes, words, h, place, text in _window_hashes(batch.column(0), k):
-            good = np.ones(len(h), bool)
-            for row in range(ROWS):
-                at = cells(h, row, bits)
-                good &= (sketch.value[row][at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
+            good = np.flatnonzero(sketch.value.twice(h, bits))
             other, _, _ = grams(hashes, words.bounds, k, SECOND)
-            yield pa.record_batch(
-                {
-                    "h": pa.array(h[good].view(np.int64)),
-                    "g": pa.array((other[good] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                    "id": pa.array(ids[first + text[good]].astype(np.int64)),
-                    "place": pa.array((place - words.bounds[text])[good].astype(np.int32)),
-                }
+            held.append(
+                (
+                    h[good],
+                    (other[good] >> np.uint64(32)).astype(np.uint32).view(np.int32),
+                    ids[first + text[good]].astype(np.int64),
+                    (place - words.bounds[text])[good].astype(np.int32),
+                )
             )
+            size += len(good)
+            if size >= HELD // 2:
+                yield _settled(held)
+                held, size = [], 0
+    if held:
+        yield _settled(held)
 
 
 def _plain(batches):
@@ -170,12 +231,13 @@ def merged_sketch(texts, k, bits):
 
 
 def repeated_windows(docs, id_col="doc_id", text_col="text", k=13, most_bits=MOST_BITS):
-    """(id, place): windows of k words whose sequence also starts in a row with a smaller id.
+    """(id, places): windows of k words whose sequence also starts in a row with a smaller id.
 
     Pass 1: each task writes the count-min sketch of its windows, block by block; sketches are
     added per block. A window's cells count at least as much as it does, so keeping windows
-    whose cells all reach two loses none. Pass 2: the kept windows, with a 96-bit hash, are
-    grouped exactly for their smallest id, and joined back to it.
+    whose cells all reach two loses none. Pass 2: a task settles the windows it holds a smaller id
+    for and sends one text's worth of every other kept window, with a 96-bit hash, to be grouped
+    exactly for the smallest id. A group so has one row per task, however common a window is.
 
     The sketch takes two cells per window up to ``2^most_bits`` cells a row; what is broadcast
     never exceeds ``2 * 2^most_bits`` bits. Beyond that it lets more windows through, and the
@@ -185,10 +247,12 @@ def repeated_windows(docs, id_col="doc_id", text_col="text", k=13, most_bits=MOS
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id")).where("id is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(2 * size / BYTES_PER_WORD, 2))), 10, most_bits))
-    sketch = spark.sparkContext.broadcast(merged_sketch(rows.select("text"), k, bits))
-    found = rows.mapInArrow(partial(_estimated, k=k, bits=bits, sketch=sketch), "h long, g int, id long, place int")
-    groups = found.groupBy("h", "g").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", "g", "low")
-    return found.join(groups, ["h", "g"]).where("id > low").select("id", "place")
+    sketch = spark.sparkContext.broadcast(Sketch(merged_sketch(rows.select("text"), k, bits)))
+    found = rows.mapInArrow(
+        partial(_estimated, k=k, bits=bits, sketch=sketch), "h long, g int, id long, place int, gone array<int>"
+    )
+    found = found.withColumn("low", F.min("id").over(Window.partitionBy("h", "g"))).where("gone is not null or low < id")
+    return found.groupBy("id").agg(F.concat(F.collect_list("place"), F.flatten(F.collect_list("gone"))).alias("places"))
 
 
 def remove_repeats(docs, id_col="doc_id", text_col="text", k=13, with_text=False, most_bits=MOST_BITS):
@@ -202,7 +266,7 @@ def remove_repeats(docs, id_col="doc_id", text_col="text", k=13, with_text=False
     other; ids stand for one text each. Other columns are not read.
     """
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    gone = cut_lineage(repeated_windows(docs, id_col, text_col, k, most_bits).groupBy("id").agg(F.collect_list("place").alias("places")))
+    gone = cut_lineage(repeated_windows(docs, id_col, text_col, k, most_bits))
     ids = gone.select("id")
     if ids.count() <= LISTED:
         ids = F.broadcast(ids)
