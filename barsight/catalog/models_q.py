@@ -34,9 +34,6 @@ def sequences_of(m):
     return emissions, cut_lineage(M.sequences(emissions))
 
 
-FIT = dict(n_iter=6, n_starts=2)
-
-
 @query("h05_training_table", shaped("session:i cum_ret vol R mode:s", """
 SELECT session, cum_ret, vol, R, 'train_only' AS mode FROM base9 JOIN train_labels USING (session)
 UNION ALL SELECT session, cum_ret, vol, R, 'augmented' FROM base9 JOIN train_labels USING (session)
@@ -152,8 +149,8 @@ def heteroskedastic(m):
 @query("j13_linear_heads")
 def linear_heads(m):
     x = labelled_baseline(m)
-    x = cut_lineage(x.join(G.kfold(x, 3), "session"))
-    return LN.linear_heads_oof(x, PLAIN, rounds=4, rows=m.rows("supplier"))
+    x = cut_lineage(x.join(G.kfold(x, 5), "session"))
+    return LN.linear_heads_oof(x, PLAIN, rows=m.rows("supplier"))
 
 
 # A fixed three-state model: its forward table is exact, so SQL can state the dot products.
@@ -202,7 +199,7 @@ def mixture(m):
 @query("j15_pooled_states")
 def pooled(m):
     _, seqs = sequences_of(m)
-    model = H.fit_models(seqs, [H.Job(3)], **FIT)[0]
+    model = H.fit_models(seqs, [H.Job(3)])[0]
     rows = [(k, float(model.start[k]), [float(x) for x in model.trans[k]], float(model.means[k, 0]), model.log_likelihood, float(model.aic()), float(model.bic())) for k in range(model.k)]
     return m.spark.createDataFrame(rows, "state int, start double, trans array<double>, mean_return double, log_likelihood double, aic double, bic double").withColumn("trans", F.array_join(F.transform("trans", lambda x: F.format_number(x, 6)), ";"))
 
@@ -210,7 +207,7 @@ def pooled(m):
 @query("j16_posterior_features")
 def posterior_features(m):
     _, seqs = sequences_of(m)
-    model = H.fit_models(seqs, [H.Job(3)], **FIT)[0]
+    model = H.fit_models(seqs, [H.Job(3)])[0]
     return H.posterior_features(seqs, model, 50)
 
 
@@ -218,14 +215,14 @@ def posterior_features(m):
 def selection(m):
     _, seqs = sequences_of(m)
     labels = L.realized_returns_inner(m.seen(), m.unseen())
-    table, _ = RG.select_states(seqs, labels, cut_lineage(G.kfold(labels, 2)), (2, 3), rows=m.rows("supplier"), n_iter=3, n_starts=1)
+    table, _ = RG.select_states(seqs, labels, cut_lineage(G.kfold(labels, 4)), rows=m.rows("supplier"), n_starts=4)
     return table
 
 
 @query("j18_session_clusters")
 def clusters(m):
     emissions, seqs = sequences_of(m)
-    _, members, _ = RG.cluster_models(seqs, emissions, 2, 2, max_rounds=2, min_size=5, n_iter=4, n_starts=1)
+    _, members, _ = RG.cluster_models(seqs, emissions)
     return members.select("session", "cluster", F.col("resp")[0].alias("resp_0"), F.col("resp")[1].alias("resp_1"))
 
 
@@ -236,35 +233,35 @@ def cluster_one_hot(m):
 
 @query("j21_boosted_mean")
 def boosted(m):
-    sub, _ = SP.boosted_positions(*parts(m), rounds=10, depth=3)
+    sub, _ = SP.boosted_positions(*parts(m))
     return sub
 
 
 @query("j23_tree_heads")
 def tree_heads(m):
     x = labelled_baseline(m)
-    return TR.TreeHeads(PLAIN, rounds=5, rate=0.1, depth=3, trees=5, rows=m.rows("supplier")).fit(x).predict(x)
+    return TR.TreeHeads(PLAIN, rows=m.rows("supplier")).fit(x).predict(x)
 
 
 @query("j24_repeated_tree_heads")
 def repeated_heads(m):
     x = labelled_baseline(m)
-    folds = cut_lineage(G.repeated_kfold(x, 2, (0, 1)))
-    oof, _ = TR.cross_validated_heads(x, PLAIN, folds, rounds=3, rate=0.1, depth=2, trees=3, rows=m.rows("supplier"))
+    folds = cut_lineage(G.repeated_kfold(x, 5, (0, 1)))
+    oof, _ = TR.cross_validated_heads(x, PLAIN, folds, rows=m.rows("supplier"))
     return oof
 
 
 @query("j25_feature_importance")
 def importance(m):
     x = labelled_baseline(m)
-    model = TR.mean_regressor(x, PLAIN, rounds=5, depth=3)
+    model = TR.mean_regressor(x, PLAIN)
     return TR.importance_table(m.spark, model, PLAIN)
 
 
 @query("g03_top_features")
 def top_features(m):
     x = labelled_baseline(m)
-    model = TR.mean_regressor(x, PLAIN, rounds=5, depth=3)
+    model = TR.mean_regressor(x, PLAIN)
     return TR.importance_table(m.spark, model, PLAIN, 3)
 
 
@@ -272,7 +269,7 @@ def top_features(m):
 def shift(m):
     f = cut_lineage(B.baseline_features(m.seen()))
     train, test = f.where(split_of("session") == "train"), f.where(split_of("session") != "train")
-    table, _ = TR.shift_check(train, test, PLAIN, cut_lineage(G.kfold(f, 3)), rounds=5, depth=2)
+    table, _ = TR.shift_check(train, test, PLAIN, cut_lineage(G.kfold(f, 5)), rounds=400)
     return table
 
 
@@ -300,18 +297,18 @@ def oof_regimes(m):
 @query("i03_topic_features")
 def topic_features(m):
     heads = m.headlines().where("bar_ix <= 49")
-    return TP.session_topics(heads.where(split_of("session") == "train"), heads, 16, rounds=2)
+    return TP.session_topics(heads.where(split_of("session") == "train"), heads)
 
 
 @query("l01_grid_cross_validation")
 def grid_cv(m):
-    g = SP.cv_grid(*parts(m), alphas=(0.5, 1.0), labels=("identity", "r2_sign_100"), anchors=(0.0, 1.0))
+    g = SP.cv_grid(*parts(m), labels=("identity", "r2_sign_100"), anchors=(0.0, 1.0))
     return g.withColumn("fold_val_sharpes", F.array_join(F.transform("fold_val_sharpes", lambda x: F.format_number(x, 6)), ";"))
 
 
 @query("l02_method_comparison")
 def method_comparison(m):
-    return SP.compare_methods(*parts(m), k=3)
+    return SP.compare_methods(*parts(m))
 
 
 @query("l04_block_monitor")
@@ -342,7 +339,7 @@ def copy_plan(m):
 
 
 SCALED = f"""
-SELECT p.augmented_session AS session, b.bar_ix, exp(start_log + sum(d + (0.75 + 0.6 * u) * (step - d)) OVER (PARTITION BY b.session, ph ORDER BY bar_ix)) AS close
+SELECT p.augmented_session AS session, b.bar_ix, exp(start_log + coalesce(sum(d + (0.75 + 0.6 * u) * (step - d)) OVER (PARTITION BY b.session, ph ORDER BY bar_ix), 0)) AS close
 FROM (SELECT *, avg(step) OVER (PARTITION BY session, ph) AS d, first_value(lc - coalesce(step, 0)) OVER (PARTITION BY session, ph ORDER BY bar_ix) AS start_log,
         (('0x' || substr(md5('0|' || session || '|2|' || ph), 1, 12))::BIGINT + 0.5) / 281474976710656.0 AS u
       FROM (SELECT session, bar_ix, ln(greatest(close, 1e-12)) AS lc, CASE WHEN bar_ix <= 49 THEN 'seen' ELSE 'unseen' END AS ph,
@@ -350,22 +347,22 @@ FROM (SELECT *, avg(step) OVER (PARTITION BY session, ph) AS d, first_value(lc -
 JOIN ({PLAN}) p ON p.session = b.session AND p.transform = 'vol_scale'"""
 
 
-@query("m02_volatility_scaling", shaped("session:i bar_ix:i close", f"SELECT session, bar_ix, coalesce(close, 1e-300) AS close FROM ({SCALED}) WHERE bar_ix > 0", "bars"))
+@query("m02_volatility_scaling", shaped("session:i bar_ix:i close", f"SELECT session, bar_ix, coalesce(close, 1e-300) AS close FROM ({SCALED})", "bars"))
 def volatility(m):
     bars, plan = augmented(m)
     rows = A.vol_scale(A.log_steps(bars, plan.where("transform = 'vol_scale'")))
-    return rows.where("bar_ix > 0").select(F.col("augmented_session").alias("session"), "bar_ix", F.col("new_close").alias("close"))
+    return rows.select(F.col("augmented_session").alias("session"), "bar_ix", F.col("new_close").alias("close"))
 
 
 @query("m04_rebuilt_bars", shaped("session:i bar_ix:i open high low close", f"""
 SELECT session, bar_ix, o AS open, greatest(h, o, c) AS high, l AS low, c AS close FROM (
   SELECT session, bar_ix, greatest(o, l) AS o, h, l, greatest(c, l) AS c FROM (
     SELECT s.session, s.bar_ix, s.close * b.open / b.close AS o, s.close * b.high / b.close AS h, greatest(s.close * b.low / b.close, 1e-12) AS l, s.close AS c
-    FROM ({SCALED}) s JOIN ({PLAN}) p ON p.augmented_session = s.session JOIN bars b ON b.session = p.session AND b.bar_ix = s.bar_ix WHERE s.bar_ix > 0))""", "bars"))
+    FROM ({SCALED}) s JOIN ({PLAN}) p ON p.augmented_session = s.session JOIN bars b ON b.session = p.session AND b.bar_ix = s.bar_ix))""", "bars"))
 def rebuilt(m):
     bars, plan = augmented(m)
     rows = A.rebuild_bars(A.vol_scale(A.log_steps(bars, plan.where("transform = 'vol_scale'"))))
-    return rows.where("bar_ix > 0").select("session", "bar_ix", "open", "high", "low", "close")
+    return rows.select("session", "bar_ix", "open", "high", "low", "close")
 
 
 def _shifted_labels(m, name):
@@ -409,9 +406,9 @@ def tailored(m):
 
 @query("p02_probabilistic_predictor")
 def probabilistic(m):
-    return PP.probabilistic(*parts(m), use_news=False, rows=m.rows("supplier"))["ranking"]
+    return PP.probabilistic(*parts(m), rows=m.rows("supplier"))["ranking"]
 
 
 @query("p03_regime_predictor")
 def regime(m):
-    return PP.regime(*parts(m), "m1", k_states=2, folds=2, rows=m.rows("supplier"), n_iter=3, n_starts=1)["ranking"]
+    return PP.regime(*parts(m), rows=m.rows("supplier"))["ranking"]

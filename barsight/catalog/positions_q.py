@@ -248,9 +248,9 @@ def std_blend(m):
 
 
 @query("j28_score_stacking", shaped("session:i cum_ret cnn_r_pred", """
-SELECT session, cum_ret, coalesce(s, 0) AS cnn_r_pred FROM base9 LEFT JOIN (SELECT session, avg(sentiment_score) AS s FROM ev WHERE bar_ix <= 5 GROUP BY 1) USING (session)""", "base9", "ev"))
+SELECT session, cum_ret, coalesce(s, 0) AS cnn_r_pred FROM base9 LEFT JOIN (SELECT session, avg(sentiment_score) AS s FROM ev GROUP BY 1) USING (session)""", "base9", "ev"))
 def stacking(m):
-    s = m.events().where("bar_ix <= 5").groupBy("session").agg(F.avg("sentiment_score").alias("score"))
+    s = m.events().where("bar_ix <= 49").groupBy("session").agg(F.avg("sentiment_score").alias("score"))
     base = B.baseline_features(m.seen()).select("session", "cum_ret").withColumn("cnn_r_pred", F.lit(0.0))
     return L.stack_score(base, s)
 

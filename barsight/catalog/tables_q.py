@@ -42,11 +42,17 @@ def bars_scan(m):
     return T.read_bars(m.spark, write_layout(m), "seen_train", ["session", "bar_ix", "close"])
 
 
-@query("a02_optional_headlines", shaped("session:i headline_count:i", "SELECT DISTINCT session, 0 AS headline_count FROM seen WHERE session % 10 <= 5", "seen"))
+@query("a02_optional_headlines", shaped("session:i headline_count:i", "SELECT s.session, coalesce(c, 0) AS headline_count FROM (SELECT DISTINCT session FROM seen) s LEFT JOIN (SELECT session, count(*) AS c FROM head WHERE bar_ix <= 49 GROUP BY 1) h ON h.session = s.session AND s.session % 10 <= 5 WHERE s.session % 10 <= 7", "seen", "head"))
 def optional_headlines(m):
+    """With a headline file for the train sessions, and without one for the public sessions."""
     folder = write_layout(m)
-    bars = T.read_bars(m.spark, folder, "seen_train")
-    return B.baseline_features(bars, T.read_headlines(m.spark, folder, "seen_train")).select("session", "headline_count")
+    own = m.headlines().where((split_of("session") == "train") & (F.col("bar_ix") <= 49))
+    own.select(*[F.col(f.name).cast(f.dataType) for f in schemas.HEADLINES.fields]).write.parquet(os.path.join(folder, T.HEADLINES["seen_train"]))
+    out = [
+        B.baseline_features(T.read_bars(m.spark, folder, s), T.read_headlines(m.spark, folder, s)).select("session", "headline_count")
+        for s in ("seen_train", "seen_public_test")
+    ]
+    return out[0].unionByName(out[1])
 
 
 @query("a03_sentiment_scan", shaped("session:i bar_ix:i company:s sentiment:s sentiment_score confidence sign digest:s", """
@@ -280,10 +286,10 @@ def feature_label(m):
 
 @query("d05_feature_blocks", shaped("session:i cum_ret headline_count:i mean_score entity_count:i", """
 SELECT b.session, cum_ret, b.headline_count, coalesce(mean_score, 0) AS mean_score, coalesce(entity_count, 0) AS entity_count FROM base9 b
-LEFT JOIN (SELECT session, avg(sentiment_score) AS mean_score, count(DISTINCT company) AS entity_count FROM ev WHERE bar_ix <= 5 GROUP BY 1) USING (session)""", "base9", "ev"))
+LEFT JOIN (SELECT session, avg(sentiment_score) AS mean_score, count(DISTINCT company) AS entity_count FROM ev GROUP BY 1) USING (session)""", "base9", "ev"))
 def feature_blocks(m):
     base = B.baseline_features(m.seen(), m.events(), 49).select("session", "cum_ret", "headline_count")
-    early = N.compact_aggregates(m.events().where("bar_ix <= 5")).select("session", "mean_score", "entity_count")
+    early = N.compact_aggregates(m.events()).select("session", "mean_score", "entity_count")
     return N.left_join_zero(base, [early])
 
 

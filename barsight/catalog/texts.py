@@ -202,7 +202,10 @@ def mentions(m):
 
 
 @query("i05_name_containment", shaped("entity:s n_words:i in_longer:i", f"""
-SELECT entity, n_words, 0 AS in_longer FROM (SELECT DISTINCT entity, len(list_filter(string_split(entity, ' '), lambda x: x <> '')) AS n_words FROM ({CLEAN}))""", "head"))
+SELECT entity, len(words) AS n_words, (array_to_string(words, ' ') IN (
+    SELECT array_to_string(words[i:i + n - 1], ' ') FROM (SELECT words, i, unnest(range(1, least(len(words) - i + 1, len(words) - 1) + 1)) AS n
+      FROM (SELECT words, unnest(range(1, len(words) + 1)) AS i FROM nm WHERE len(words) > 1))))::INT AS in_longer FROM nm""", "head",
+    nm=f"SELECT entity, list_filter(string_split(entity, ' '), lambda x: x <> '') AS words FROM (SELECT DISTINCT entity FROM ({CLEAN}))"))
 def containment(m):
     return E.name_containment(named(m).select("entity"))
 

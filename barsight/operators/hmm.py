@@ -116,7 +116,8 @@ def _stacks(pdf):
     for t in np.unique(lengths):
         rows = np.flatnonzero(lengths == t)
         if t > 0:
-            yield rows, np.stack([np.stack(pdf["seq"].iloc[i]) for i in rows]).astype(np.float64)
+            flat = np.concatenate([np.concatenate(pdf["seq"].iloc[i]) for i in rows])
+            yield rows, flat.astype(np.float64).reshape(len(rows), t, -1)
 
 
 def _sizes(k, f, kind):
@@ -167,7 +168,7 @@ def _maximise(model, sums, floor):
 
 def _first_model(job, mean, var, restart):
     """Start: states spread over the return axis, or random around the mean on restarts."""
-    rng = np.random.default_rng(job.seed + 10007 * restart)
+    rng = np.random.default_rng([job.seed, restart])
     f = len(mean)
     spread = np.linspace(-1.0, 1.0, job.k)[:, None] * np.sqrt(var) if job.k > 1 else np.zeros((1, f))
     means = mean + (spread if restart == 0 else rng.standard_normal((job.k, f)) * np.sqrt(var))

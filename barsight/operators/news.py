@@ -329,7 +329,7 @@ def session_grams(headlines, ngram_max=2):
         )
         .where("first <> ''")
         .withColumn("before", F.lag("last").over(by_event))
-        .withColumn("bar_last", F.last("last").over(by_event.rowsBetween(0, W.unboundedFollowing)))
+        .withColumn("bar_last", F.max_by("last", "event_id").over(in_bar))
     )
     starts = ends.where("before is null").withColumn("before", F.lag("bar_last").over(by_bar()))
     joined = lambda df: df.where("before is not null").select(

@@ -1,6 +1,9 @@
 """State-count selection, session clustering and out-of-fold regime forecasts."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import functions as F, Window as W
 
 from barsight.functions.stats import sharpe_of
 from barsight.operators.emissions import SUMMARY_COLUMNS, session_summary
@@ -52,90 +55,127 @@ def one_hot(df, k, column="cluster"):
 
 def oof_forecasts(seqs, folds, k=3, kind="diag", seen_bars=50, horizon=50, **fit):
     """Every session forecast by the model fitted without its fold; all folds share the passes."""
+    return candidate_forecasts(seqs, folds, [(k, kind)], seen_bars, horizon, **fit).drop("candidate")
+
+
+def candidate_forecasts(seqs, folds, candidates, seen_bars=50, horizon=50, **fit):
+    """Out-of-fold forecasts of all (states, kind) candidates, marked with candidate and fold.
+
+    One fit call holds every candidate and fold, so the passes over the sequences don't grow in
+    number with either.
+    """
     tagged = cut_lineage(seqs.join(folds.select("session", F.col("fold").alias("tag")), "session"))
     ids = sorted(r[0] for r in folds.select("fold").distinct().collect())
-    models = fit_models(tagged, [Job(k, kind, skip=i) for i in ids], **fit)
-    out = None
-    for i, m in zip(ids, models):
-        part = forecast_sessions(tagged.where(F.col("tag") == i), m, horizon, seen_bars)
-        part = part.withColumn("fold", F.lit(i))
-        out = part if out is None else out.unionByName(part)
-    return out
+    cells = [(c, i) for c in range(len(candidates)) for i in ids]
+    models = fit_models(tagged, [Job(*candidates[c], skip=i) for c, i in cells], **fit)
+    parts = [
+        forecast_sessions(tagged.where(F.col("tag") == i), model, horizon, seen_bars).withColumns(
+            {"candidate": F.lit(c), "fold": F.lit(i)}
+        )
+        for (c, i), model in zip(cells, models)
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def select_states(seqs, labels, folds, states=(2, 3, 4), kinds=("diag",), sizing=Sizing(alpha=0.6),
-                  bic_window=50.0, tie=0.01, seen_bars=50, rows=None, **fit):
-    """Candidates with likelihood, AIC, BIC and fold Sharpe, and the one that is selected.
+def choose(table, bic_window=50.0, tie=0.01):
+    """Adds ``selected`` to a candidate table (n_states, bic, mean_sharpe, ...).
 
-    Candidates within the BIC window compete on Sharpe; a smaller model within ``tie`` wins.
+    Only candidates within ``bic_window`` of the lowest BIC count. The highest Sharpe leads; a
+    candidate with fewer states that trails it by ``tie`` at most goes first.
     """
-    spark = seqs.sparkSession
+    everyone = W.partitionBy(F.lit(0))  # a row per candidate
+    near = F.col("bic") <= F.min("bic").over(everyone) + bic_window
+    merit = F.struct(F.col("mean_sharpe"), -F.col("n_states"), -F.col("bic"))
+    lead = F.max(F.when(F.col("_near"), merit)).over(everyone)
+    smaller = F.col("n_states") < -F.col("_lead")["col2"]
+    close = F.col("_lead")["mean_sharpe"] - F.col("mean_sharpe") <= tie
+    place = F.row_number().over(
+        everyone.orderBy(F.desc("_near"), F.desc("_first"), F.desc("mean_sharpe"), "n_states", "bic")
+    )
+    return (
+        table.withColumn("_near", near)
+        .withColumn("_lead", lead)
+        .withColumn("_first", smaller & close)
+        .withColumn("selected", place == 1)
+        .drop("_near", "_lead", "_first")
+    )
+
+
+def select_states(seqs, labels, folds, states=(2, 3, 4), kinds=("diag",), sizing=Sizing(alpha=0.6),
+                  bic_window=50.0, tie=0.01, seen_bars=50, rows=None, **fit):
+    """Candidate table with likelihood, AIC, BIC and mean fold Sharpe, and the selected model."""
     candidates = [(k, kind) for kind in kinds for k in states]
-    pooled = fit_models(seqs, [Job(k, kind) for k, kind in candidates], **fit)
-    table = []
-    for (k, kind), model in zip(candidates, pooled):
-        preds = cut_lineage(oof_forecasts(seqs, folds, k, kind, seen_bars, **fit))
-        folds_here = preds.select("session", "fold")
-        scored = []
-        for i in sorted(r[0] for r in folds_here.select("fold").distinct().collect()):
-            sized = apply_sizing(preds.where(F.col("fold") == i), sizing, rows)
-            pnl = sized.join(labels.where("R is not null").select("session", "R"), "session")
-            scored.append(pnl.agg(sharpe_of(F.col("target_position") * F.col("R")).alias("s")).first()["s"])
-        table.append(
-            {
-                "n_states": k, "kind": kind, "log_likelihood": model.log_likelihood, "aic": float(model.aic()),
-                "bic": float(model.bic()), "mean_sharpe": float(sum(scored) / len(scored)),
-                "converged": model.converged,
-            }
-        )
-    limit = min(t["bic"] for t in table) + bic_window
-    eligible = sorted(
-        (t for t in table if t["bic"] <= limit), key=lambda t: (-t["mean_sharpe"], t["n_states"], t["bic"])
+    pooled = fit_models(seqs, [Job(*c) for c in candidates], **fit)
+    preds = cut_lineage(candidate_forecasts(seqs, folds, candidates, seen_bars, **fit))
+    groups = sorted(tuple(r) for r in preds.select("candidate", "fold").distinct().collect())
+    sized = [
+        apply_sizing(preds.where((F.col("candidate") == c) & (F.col("fold") == i)), sizing, rows)
+        .select("session", "target_position")
+        .withColumns({"candidate": F.lit(c), "fold": F.lit(i)})
+        for c, i in groups
+    ]
+    sharpes = (
+        reduce(lambda a, b: a.unionByName(b), sized)
+        .join(labels.where("R is not null").select("session", "R"), "session")
+        .groupBy("candidate", "fold")
+        .agg(sharpe_of(F.col("target_position") * F.col("R")).alias("s"))
+        .groupBy("candidate")
+        .agg(F.avg("s").alias("mean_sharpe"))
     )
-    winner = eligible[0]
-    for t in eligible:
-        if t["n_states"] < winner["n_states"] and winner["mean_sharpe"] - t["mean_sharpe"] <= tie:
-            winner = t
-            break
-    for t in table:
-        t["selected"] = t is winner
-    frame = spark.createDataFrame(
-        [tuple(t.values()) for t in table],
-        "n_states int, kind string, log_likelihood double, aic double, bic double, mean_sharpe double, "
-        "converged boolean, selected boolean",
+    facts = seqs.sparkSession.createDataFrame(
+        [(c, k, kind, float(m.log_likelihood), float(m.aic()), float(m.bic()), bool(m.converged))
+         for c, ((k, kind), m) in enumerate(zip(candidates, pooled))],
+        "candidate int, n_states int, kind string, log_likelihood double, aic double, bic double, converged boolean",
     )
-    return frame, pooled[table.index(winner)]
+    table = cut_lineage(choose(facts.join(sharpes, "candidate"), bic_window, tie))
+    best = table.where("selected").first()["candidate"]
+    columns = ["n_states", "kind", "log_likelihood", "aic", "bic", "mean_sharpe", "converged", "selected"]
+    return table.select(*columns), pooled[best]
+
+
+def _filled(state, n_clusters):
+    """No cluster without sessions: an empty one takes over, by hash order, its share of the fullest."""
+    sizes = {c: n for c, n in state.groupBy("tag").count().collect()}
+    for empty in [c for c in range(n_clusters) if not sizes.get(c)]:
+        fullest = max(sizes, key=sizes.get)
+        share = max(1, sizes[fullest] // n_clusters)
+        moved = state.where(F.col("tag") == fullest).orderBy(F.md5(F.col("session").cast("string"))).limit(share)
+        moved = moved.select("session", F.lit(empty).alias("_new"))
+        state = cut_lineage(state.join(moved, "session", "left").select("session", F.coalesce("_new", "tag").alias("tag")))
+        sizes[empty], sizes[fullest] = share, sizes[fullest] - share
+    return state
+
+
+def _flow(seqs, state, jobs, temperature, **fit):
+    """Models of the present clusters and (session, tag, best, resp): where each session would go."""
+    tagged = cut_lineage(seqs.drop("tag").join(state, "session"))
+    models = fit_models(tagged, jobs, **fit)
+    return models, cut_lineage(state.join(responsibilities(posteriors(tagged, models), temperature), "session"))
 
 
 def cluster_models(seqs, emissions, n_clusters=2, k=3, max_rounds=5, min_size=100, temperature=1.0,
                    seed=0, kind="diag", **fit):
-    """Alternate per-cluster fits and reassignment by likelihood from a KMeans start.
+    """Per-cluster models, (session, cluster, resp) and the table of moves per round.
 
-    A reassignment that would leave a cluster below ``min_size`` is refused and ends the
-    loop. Returns models, (session, cluster, resp) and the round history.
+    From a KMeans start, models are fitted to the clusters and sessions move to the likeliest one,
+    until none would move, ``max_rounds`` are over, or a move would leave a cluster with fewer than
+    ``min_size`` sessions; that last move is not made.
     """
-    summary = session_summary(emissions)
-    labels = kmeans_labels(summary, SUMMARY_COLUMNS, n_clusters, seed).select("session", F.col("cluster").alias("tag"))
-    labels = cut_lineage(labels)
-    history = []
-    for step in range(max(1, max_rounds)):
-        tagged = cut_lineage(seqs.drop("tag").join(labels, "session"))
-        models = fit_models(tagged, [Job(k, kind, seed, only=c) for c in range(n_clusters)], **fit)
-        scored = cut_lineage(responsibilities(posteriors(tagged, models), temperature))
-        both = labels.join(scored, "session")
-        sizes = dict(scored.groupBy("best").count().collect())
-        proposed = [sizes.get(c, 0) for c in range(n_clusters)]
-        changed = both.where("tag <> best").count()
-        collapse = n_clusters > 1 and min(proposed) < min_size
-        history.append({"round": step, "changed": changed, "proposed": proposed, "collapse": collapse})
-        members = both.select("session", F.col("tag").alias("cluster"), "resp")
-        if collapse:
-            break
-        labels = cut_lineage(both.select("session", F.col("best").alias("tag")))
-        members = both.select("session", F.col("best").alias("cluster"), "resp")
-        if changed == 0:
-            break
-    return models, members, history
+    start = kmeans_labels(session_summary(emissions), SUMMARY_COLUMNS, n_clusters, seed)
+    state = _filled(cut_lineage(start.select("session", F.col("cluster").alias("tag"))), n_clusters)
+    jobs = [Job(k, kind, seed, only=c) for c in range(n_clusters)]
+    moves, open_rounds = [], max(1, max_rounds)
+    while open_rounds:
+        models, flow = _flow(seqs, state, jobs, temperature, **fit)
+        counts = np.zeros((n_clusters, n_clusters), int)
+        for old, new, n in flow.groupBy("tag", "best").count().collect():
+            counts[old, new] = n
+        moves.append(counts)
+        allowed = n_clusters == 1 or counts.sum(axis=0).min() >= min_size
+        settled = counts.trace() == counts.sum()
+        state = flow.select("session", F.col("best" if allowed else "tag").alias("tag"))
+        open_rounds = open_rounds - 1 if allowed and not settled else 0
+    return models, state.withColumnRenamed("tag", "cluster").join(flow.select("session", "resp"), "session"), moves
 
 
 def oof_mixture_forecasts(seqs, emissions, folds, n_clusters=2, seen_bars=50, horizon=50, **options):

@@ -1,5 +1,7 @@
 """Tree ensembles on session features: mean, sign and quantile heads, shift check."""
 
+from statistics import median
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -46,14 +48,15 @@ def _leaf_rows(model, rows, trees):
 class QuantileForest:
     """Forest whose leaves hold training quantiles; a prediction averages its leaves."""
 
-    def __init__(self, columns, qs=(0.1, 0.5, 0.9), trees=20, depth=5, seed=0, rows=None):
+    def __init__(self, columns, qs=(0.1, 0.5, 0.9), trees=20, depth=5, seed=0, rows=None, weight=None):
         self.columns, self.qs, self.trees, self.depth, self.seed, self.rows = columns, qs, trees, depth, seed, rows
+        self.weight = weight
 
     def fit(self, train):
         rows = vectors(train.where("R is not null"), self.columns)
         self.model = RandomForestRegressor(
             labelCol="R", numTrees=self.trees, maxDepth=self.depth, seed=self.seed, leafCol="leaves",
-            predictionCol="_forest",
+            predictionCol="_forest", **({"weightCol": self.weight} if self.weight else {}),
         ).fit(rows)
         self.table = quantiles(
             _leaf_rows(self.model, rows, self.trees), "R", self.qs, ["tree", "leaf"], self.rows
@@ -75,25 +78,26 @@ class TreeHeads:
         self.seed, self.min_u, self.trees, self.rows, self.holdout = seed, min_u, trees, rows, holdout
 
     def fit(self, train, rounds=None):
-        """Early stopping on a hash holdout, or exactly ``rounds`` rounds if given."""
+        """Early stopping on a hash holdout, or exactly ``rounds`` ({head: number}) if given."""
         rows = train.where("R is not null")
         std = rows.agg(F.stddev_pop("R").alias("s")).first()["s"] or 0.0
         rows = vectors(rows, self.columns).withColumn("_w", economic_weight("R", F.lit(float(std))))
         rows = rows.withColumn("_up", (F.col("R") > 0).cast("double"))
         sides = {r[0] for r in rows.select("_up").distinct().collect()}
-        common = dict(maxDepth=self.depth, stepSize=self.rate, weightCol="_w", maxIter=rounds or self.rounds)
+        common = dict(maxDepth=self.depth, stepSize=self.rate, weightCol="_w")
+        limit = rounds or {"mean": self.rounds, "sign": self.rounds}
         if rounds is None:
             rows = with_holdout(rows, self.holdout, self.seed)
             common["validationIndicatorCol"] = "_val"
         # trees offer the absolute loss as the robust one
-        self.mean = GBTRegressor(labelCol="R", lossType="absolute", seed=self.seed, predictionCol="mu", **common).fit(rows)
+        self.mean = GBTRegressor(labelCol="R", lossType="absolute", seed=self.seed, predictionCol="mu", maxIter=limit["mean"], **common).fit(rows)
         self.sign = None
         if len(sides) == 2:
-            learner = GBTClassifier(labelCol="_up", seed=self.seed + 11, predictionCol="_side", **common)
+            learner = GBTClassifier(labelCol="_up", seed=self.seed, predictionCol="_side", maxIter=limit["sign"], **common)
             learner = learner.setProbabilityCol("_prob").setRawPredictionCol("_raw")
             self.sign = learner.fit(rows)
         self.best_rounds = {"mean": self.mean.getNumTrees, "sign": self.sign.getNumTrees if self.sign else 1}
-        self.forest = QuantileForest(self.columns, trees=self.trees, seed=self.seed, rows=self.rows).fit(train)
+        self.forest = QuantileForest(self.columns, trees=self.trees, seed=self.seed, rows=self.rows, weight="_w").fit(rows.drop("features"))
         return self
 
     def predict(self, df):
@@ -141,8 +145,8 @@ def cross_validated_heads(df, columns, folds, **options):
         "session", "mu", "p_up", F.col("q_lower").alias("q0"), F.col("q_median").alias("q1"), F.col("q_upper").alias("q2")
     )
     own = folds.where(F.col("seed") == first).select("session", "fold")
-    median = {k: int(max(1, sorted(v)[len(v) // 2])) for k, v in rounds.items()}
-    return ordered_quantiles(table).join(own, "session"), median
+    rounds = {k: max(1, round(median(v))) for k, v in rounds.items()}
+    return ordered_quantiles(table).join(own, "session"), rounds
 
 
 def importance_table(spark, model, columns, k=None):

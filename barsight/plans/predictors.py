@@ -46,7 +46,7 @@ def tailored(train, test, use_news=False, k=5, seeds=(0, 1), config=None, rows=N
     folds = cut_lineage(repeated_kfold(labelled, k, seeds))
     oof, rounds = cross_validated_heads(labelled, columns, folds, rows=rows, **tree_options)
     oof = cut_lineage(oof.join(labelled.select("session", "R"), "session"))
-    heads = TreeHeads(columns, rows=rows, **tree_options).fit(labelled, rounds["mean"])
+    heads = TreeHeads(columns, rows=rows, **tree_options).fit(labelled, rounds)
     preds = cut_lineage(heads.predict(target))
     ranking, used = finish(oof, preds, rows, config)
     out = {"ranking": ranking, "oof": oof, "config": used, "importance": heads.importance(labelled.sparkSession)}

@@ -1,7 +1,4 @@
-"""Registered queries against their SQL on DuckDB.
-
-BARSIGHT_ORACLE=all runs every query (several minutes); the default is one or two per group.
-"""
+"""Every registered query that has SQL, against that SQL on DuckDB."""
 
 import os
 
@@ -11,15 +8,8 @@ import __spark_entry__ as entry
 from oracle import connect, difference
 
 PATH = os.environ.get("BARSIGHT_ORACLE_DIR", "/root/testdata/sf0.001")
-DEFAULT = [
-    "a01_bars_scan", "a14_pool_reference", "b06_gaussian_projection", "b11_cleaned_entity", "c05_finite_horizons",
-    "d07_forward_returns", "d09_prior_history", "e01_baseline_features", "e03_path_features", "e05_sentiment_features",
-    "e13_window_momentum", "e20_entity_concentration", "e30_correlation_block", "f11_emission_table", "g07_kfold",
-    "h05_training_table", "i02_hashed_fingerprint", "j06_momentum_signal", "j14_regime_forecast", "k03_sizing_modes",
-    "k08_ensemble_weights", "l05_event_validation", "l09_variant_benchmark", "m04_rebuilt_bars", "n02_stored_responses",
-]
 SQL = entry.oracle_sql()
-NAMES = sorted(SQL) if os.environ.get("BARSIGHT_ORACLE") == "all" else DEFAULT
+NAMES = sorted(SQL)
 
 
 @pytest.fixture(scope="module")
