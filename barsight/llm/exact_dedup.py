@@ -22,8 +22,10 @@ def exact_groups(docs, id_col="doc_id", text_col="text", digest=None, salts=64):
 
     Three levels, each grouping by the digest and by the full normalised content:
 
-    1. rows of one task are combined before anything is shuffled (the partial aggregate);
-    2. what is left is merged per digest and salt, so that a group of a third of all rows is spread;
+    1. rows of one task are combined before anything is shuffled (the partial aggregate), to one
+       row for each content;
+    2. what is left is merged per digest and salt, where tasks take salts in turn, so that a group
+       of a third of all rows is spread;
     3. the winners of the salts are merged per digest: at most ``salts`` rows for a group.
 
     The rank of a row is one decimal, its code points times 2^64 plus the complement of its id, so
@@ -46,7 +48,7 @@ def exact_groups(docs, id_col="doc_id", text_col="text", digest=None, salts=64):
     )
     salted = (
         rows.withColumn("rank", rank.cast("decimal(38,0)"))
-        .withColumn("salt", F.pmod(F.xxhash64("id", "length"), F.lit(salts)))
+        .withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         .groupBy("digest", "salt", "content")
         .agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("size"))
     )

@@ -7,13 +7,13 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from barsight.llm.components import components
-from barsight.llm.words import Words, grams, mix, runs, slices
+from barsight.llm.words import STEP, Words, grams, mix, runs, slices
 from barsight.session import cut_lineage
 
 SEED = 7
 GROWTH = 8
-ORDERS = 3
-STEPS = 2
+ORDERS = 2
+STEPS = 1
 LISTED = 1_000_000  # ids of eight bytes that are broadcast at most
 
 
@@ -29,7 +29,10 @@ def shingles(column, k):
         counts = words.counts()
         short = np.flatnonzero((counts > 0) & (counts < k))
         if len(short):
-            whole = [mix(np.add.accumulate(mix(hashes[words.bounds[i] : words.bounds[i + 1]] + np.uint64(1 + counts[i])))[-1:])[0] for i in short]
+            whole = []
+            for i in short:
+                own = hashes[words.bounds[i] : words.bounds[i + 1]]
+                whole.append(grams(own, np.array([0, len(own)]), len(own))[0][0] + STEP)
             values = np.concatenate([values, np.array(whole, np.uint64)])
             text = np.concatenate([text, short])
         order = np.lexsort((values, text))

@@ -5,6 +5,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+_RUN_FOLDERS = set()
+
 
 def build_session(app_name="barsight", master=None, **conf):
     builder = SparkSession.builder.appName(app_name)
@@ -15,6 +17,8 @@ def build_session(app_name="barsight", master=None, **conf):
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # very long texts make small batches
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
         "spark.ui.enabled": "false",
         # call-site capture makes building large column lists several times slower
         "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -38,9 +42,22 @@ def shared_dir(spark):
     return current
 
 
+def run_folder(spark):
+    """This application's own subfolder of the shared folder; the file system removes it when the driver ends."""
+    context = spark.sparkContext
+    folder = os.path.join(shared_dir(spark), "sinks", context.applicationId)
+    if folder not in _RUN_FOLDERS:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _RUN_FOLDERS.add(folder)
+    return folder
+
+
 def new_path(spark, name):
-    """A fresh path in the shared folder for a sink."""
-    return os.path.join(shared_dir(spark), "sinks", f"{name}-{os.urandom(6).hex()}")
+    """A fresh path in the run's folder for a sink."""
+    return os.path.join(run_folder(spark), f"{name}-{os.urandom(6).hex()}")
 
 
 def cut_lineage(df):
