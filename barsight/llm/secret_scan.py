@@ -19,6 +19,12 @@ MASK = "[SECRET]"
 TOKEN = r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.-]{0,40}[0-9])[A-Za-z0-9+/_.-]{11,}[A-Za-z0-9+/](?![A-Za-z0-9@])"
 KEYS = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credentials?|private[_-]?key"
 ASSIGNED = rf"(?i)(?:{KEYS})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"']{{6,}})"
+# A private key from its first line to its last; without a last line, up to the end of its base64 lines. Fixed value.
+KEY_BLOCK = (
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:(?:\s|\\[nr]){1,4}+[A-Za-z0-9+/]{16,}+={0,2})*+(?:(?:\s|\\[nr]){1,4}+[A-Za-z0-9+/]+={1,2})?)"
+)
 # Formats of issued credentials: what matches is a labelled true finding. Fixed values.
 FORMATS = [
     r"(?:AKIA|ASIA)[0-9A-Z]{16}",
@@ -29,7 +35,7 @@ FORMATS = [
     r"AIza[0-9A-Za-z_-]{35}",
     r"[rs]k_(?:live|test)_[0-9A-Za-z]{16,}",
     r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+",
-    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
+    KEY_BLOCK,
 ]
 # Neighbours that speak for something public. Fixed values.
 PUBLIC = r"(?i)\b(?:sha(?:1|256|512)?|md5|commit|checksum|digest|hash|uuid|guid|version|isbn|issn|doi|build|revision|phone|tel|fax|license)\b"
@@ -40,29 +46,45 @@ FEATURES = [
 
 
 def candidates(docs, id_col="doc_id", text_col="text"):
-    """(id, candidate, start, occurrences, left, right): one row per row of ``docs`` and distinct candidate."""
+    """(id, finding, candidate, start, occurrences, left, right): one row per finding and distinct neighbourhood.
+
+    A finding is a row of ``docs`` and a distinct candidate. Every place of the candidate counts, also
+    those inside longer tokens; places with equal neighbours are one row. A private key is one
+    candidate from its first line to its last; nothing is looked for inside it.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = F.array_distinct(
-        F.concat(
-            F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)),
-            F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(1)),
-            F.regexp_extract_all(text, F.lit("(?<![A-Za-z0-9])(?:" + "|".join(FORMATS) + ")(?![A-Za-z0-9])"), F.lit(0)),
-        )
+    # no value is assigned over four line ends
+    outside = F.regexp_replace(text, KEY_BLOCK, "\n\n\n\n")
+    found = F.concat(
+        F.regexp_extract_all(outside, F.lit(TOKEN), F.lit(0)),
+        F.regexp_extract_all(outside, F.lit(ASSIGNED), F.lit(1)),
+        F.regexp_extract_all(outside, F.lit("(?<![A-Za-z0-9])(?:" + "|".join(FORMATS) + ")(?![A-Za-z0-9])"), F.lit(0)),
     )
-    trimmed = F.array_distinct(F.transform(found, lambda c: F.regexp_replace(c, r"[.,;:!?)\]}>]+$", "")))
+    trimmed = F.transform(found, lambda c: F.regexp_replace(c, r"[.,;:!?)\]}>]+$", ""))
+    trimmed = F.array_distinct(F.concat(trimmed, F.regexp_extract_all(text, F.lit(KEY_BLOCK), F.lit(0))))
     trimmed = F.filter(trimmed, lambda c: F.length(c) >= 6)
-
-    def described(c):
-        at = F.position(c, text)
-        return F.struct(
-            c.alias("candidate"),
-            at.cast("long").alias("start"),
-            ((F.length(text) - F.length(F.replace(text, c))) / F.length(c)).cast("long").alias("occurrences"),
-            F.substring(text, F.greatest(at - 60, F.lit(1)), F.least(at - 1, F.lit(60))).alias("left"),
-            F.substring(text, at + F.length(c), F.lit(30)).alias("right"),
-        )
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.explode(F.transform(trimmed, described)).alias("c")).select("id", "c.*")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.explode(trimmed).alias("candidate"))
+    quoted = F.concat(F.lit("\\Q"), F.replace("candidate", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    between = rows.select("id", "candidate", F.split("text", quoted, -1).alias("between"))
+    pieces, n = F.col("between"), F.size("between")
+
+    def beside(i):
+        # a candidate has 6 characters at least, so these pieces hold all neighbours
+        first = F.greatest(i - 10, F.lit(1))
+        before = F.call_function("array_join", F.slice(pieces, first, i - first + 1), F.col("candidate"))
+        after = F.call_function("array_join", F.slice(pieces, i + 1, F.lit(6)), F.col("candidate"))
+        return F.struct(F.substring(before, -60, 60).alias("left"), F.substring(after, 1, 30).alias("right"))
+
+    # numbered before the places are spread, so all places of a finding have its number
+    findings = between.select(
+        "id",
+        F.monotonically_increasing_id().alias("finding"),
+        "candidate",
+        (F.length(pieces[0]) + 1).cast("long").alias("start"),
+        (n - 1).cast("long").alias("occurrences"),
+        F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), beside)).alias("beside"),
+    )
+    return findings.withColumn("beside", F.explode("beside")).select("id", "finding", "candidate", "start", "occurrences", "beside.*")
 
 
 def _parts(candidate):
@@ -128,9 +150,11 @@ def scan(docs, id_col="doc_id", text_col="text", findings=None, sample=SAMPLE, t
     """One row per row of ``docs`` and distinct candidate: id, candidate, start, occurrences, score, is_secret.
 
     Candidates are runs of at least 12 key characters with a digit, values assigned to a
-    credential's name, and what has the format of an issued credential. A random forest judges each by its length, kinds of
-    adjacent characters, coverage by the corpus's own words, likeness to paths and addresses, and
-    the words beside its first occurrence (``start``, in code points from 1). It is trained on
+    credential's name, private keys from their first line to their last, and what has the format of an
+    issued credential. A random forest judges each occurrence by its length, kinds of adjacent
+    characters, coverage by the corpus's own words, likeness to paths and addresses, and the words
+    beside it; the score is the highest of all occurrences. ``start`` is the place of the first, in
+    code points from 1. It is trained on
     ``findings`` (columns candidate, left, right, label of 0 or 1), or on this table's candidates
     labelled by rule, at most ``sample`` of each label by hash order; every row is judged.
 
@@ -154,7 +178,7 @@ def scan(docs, id_col="doc_id", text_col="text", findings=None, sample=SAMPLE, t
     for kind in (0.0, 1.0):
         kinds[kind] = cut_lineage(marked.where(F.col("label") == kind).orderBy(F.xxhash64("candidate", "left"), "candidate", "left").limit(sample))
     present = [k for k, rows in kinds.items() if not rows.isEmpty()]
-    columns = ["id", "candidate", "start", "occurrences"]
+    columns = ["finding", "id", "candidate", "start", "occurrences"]
     if len(present) < 2:
         out = judged.select(*columns, F.lit(present[0] if present else 0.0).alias("score"))
     else:
@@ -163,6 +187,8 @@ def scan(docs, id_col="doc_id", text_col="text", findings=None, sample=SAMPLE, t
         model = forest.fit(assembler.transform(kinds[0.0].unionByName(kinds[1.0])))
         scored = model.transform(assembler.transform(judged))
         out = scored.select(*columns, F.round(vector_to_array("probability")[1], 6).alias("score"))
+    # columns other than the score are those of the finding
+    out = out.groupBy("finding").agg(*(F.first(x).alias(x) for x in columns[1:]), F.max("score").alias("score")).drop("finding")
     return out.withColumn("is_secret", F.col("score") >= threshold).withColumnRenamed("id", id_col)
 
 

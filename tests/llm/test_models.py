@@ -224,3 +224,25 @@ def test_secret_edge_cases(spark):
     assert sorted((str(r["doc_id"]), r["occurrences"], r["is_secret"]) for r in got) == [("1", 2, True), ("1", 2, True), ("None", 1, True)]
     texts = sorted(str(r["text"]) for r in secret_scan.redact(table(spark, rows)).collect())
     assert texts == ["None", "[SECRET]", "[SECRET] [SECRET]", "[SECRET] [SECRET]"]
+
+
+def test_secret_places_and_private_keys(spark):
+    rows, _ = secret_rows()
+    body = "\n".join("MIIEpAIBAAKCAQEA" + hashlib.sha256(str(i).encode()).hexdigest()[:48] for i in range(5))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    cut = f"-----BEGIN PRIVATE KEY-----\n{body}\nAbC1=="
+    twice = hashlib.sha256(b"twice").hexdigest()[:32]
+    more = [
+        (90_001, f"see\n{key}\nthat was it"),
+        (90_002, f"see\n{cut}\n\nnothing more"),
+        (90_003, f"commit sha256 {twice} was the build. " + "plain words stand here " * 5 + f"password = {twice} is used"),
+    ]
+    docs = spark.createDataFrame(rows + more, "doc_id long, text string")
+    got = {(r["doc_id"], r["candidate"]): r for r in secret_scan.scan(docs).where("doc_id > 90000").collect()}
+    assert {c for i, c in got if i == 90_001} == {key} and {c for i, c in got if i == 90_002} == {cut}
+    assert got[90_001, key]["is_secret"] and got[90_002, cut]["is_secret"]
+    both = got[90_003, twice]
+    assert both["is_secret"] and both["occurrences"] == 2 and both["start"] == more[2][1].index(twice) + 1
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).where("doc_id > 90000").collect()}
+    assert clean[90_001] == "see\n[SECRET]\nthat was it" and clean[90_002] == "see\n[SECRET]\n\nnothing more"
+    assert twice not in clean[90_003]
