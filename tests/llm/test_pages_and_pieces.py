@@ -27,6 +27,24 @@ def test_page_without_article_takes_the_container():
     assert html_main.main_text(page, None) == "Long text here\n\nMore"
 
 
+STORY = "<p>The story's first lines are here</p><p>and it goes on for a while</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body class='has-sidebar'>{STORY}<div class=sidebar>Side</div></body>",
+        f"<body><div class='content-with-sidebar'>{STORY}</div><div class=sidebar>Side</div></body>",
+        f"<body><div class='page widgets'><article class='post comments-open'>{STORY}<div class=ad>Buy</div></article></div></body>",
+        f"<body><main id='search-result-page'>{STORY}</main><div class=login>{STORY * 3}</div></body>",
+        f"<body><article class=post>{STORY}</article><div class=comments><article class=comment>{STORY}</article></div></body>",
+        f"<body><div id=share-wrap><main>{STORY}</main></div><footer class=footer>{STORY * 9}</footer></body>",
+    ],
+)
+def test_class_words_do_not_rule_out_the_text(page):
+    assert html_main.main_text(page) == "The story's first lines are here\n\nand it goes on for a while"
+
+
 @pytest.mark.parametrize("page", ["", "text only", "<", "<p", "</p></div>", "<b><b><p>a", "<script>x", "<!-- x", "&am &lt;b&gt;", "<p>" * 5000])
 def test_broken_pages_do_not_fail(page):
     html_main.main_text(page)
