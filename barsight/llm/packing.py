@@ -2,7 +2,6 @@
 
 import json
 import re
-import zlib
 from collections import defaultdict
 from functools import lru_cache, partial
 
@@ -68,10 +67,10 @@ def _pieces(batches, path, capacity):
             ids = np.append(encode(text or "", path), np.uint32(END)).astype("<u4")
             starts = cut_points(len(ids), capacity)
             for piece, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
-                rows.append((i, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+                rows.append((i, piece, a, b - a, ids[a:b].tobytes()))
         columns = list(zip(*rows)) if rows else [()] * 5
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "piece", "start", "length", "ids_crc32"])
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "piece", "start", "length", "ids"])
 
 
 class Gaps:
@@ -237,18 +236,44 @@ def places(runs):
 
 
 def _placed(batches, table):
-    names = ["id", "piece", "start", "length", "ids_crc32"]
+    names = ["id", "piece", "start", "length", "ids"]
     for batch in batches:
         key = (batch.column("length").to_numpy() << 40) + batch.column("rank").to_numpy() - 1
         row = table.value[np.searchsorted(table.value[:, 0], key, "right") - 1]
-        columns = [batch.column(n) for n in names] + [pa.array(row[:, 1] + key - row[:, 0]), pa.array(row[:, 2])]
-        yield pa.record_batch(columns, names=[*names, "sequence_id", "offset"])
+        columns = [batch.column(n) for n in names[:-1]] + [_lists(batch.column("ids"))]
+        columns += [pa.array(row[:, 1] + key - row[:, 0]), pa.array(row[:, 2]), batch.column("ids_crc32")]
+        yield pa.record_batch(columns, names=[*names, "sequence_id", "offset", "ids_crc32"])
+
+
+def _lists(raw):
+    """Little-endian bytes of ids as lists of int."""
+    cells = raw.to_pylist()
+    offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in cells])])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(cells), "<i4"), pa.int32()))
+
+
+def _joined(batches):
+    for batch in batches:
+        parts = batch.column("parts")
+        inner = parts.flatten().field("ids")
+        # pieces lie in order and without gaps, so only the bounds change
+        ends = np.concatenate([[0], np.cumsum(inner.value_lengths().to_numpy())])
+        bounds = ends[np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())])]
+        ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), inner.flatten())
+        yield pa.record_batch({"sequence_id": batch.column("sequence_id"), "length": pa.array(np.diff(bounds)), "ids": ids})
+
+
+def sequences(packed):
+    """(sequence_id, length, ids): the packed sequences themselves, from the rows of ``pack``."""
+    parts = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+    return parts.select("sequence_id", "parts").mapInArrow(_joined, "sequence_id long, length long, ids array<int>")
 
 
 def pack(docs, id_col="doc_id", text_col="text", path=None, capacity=CAPACITY):
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: id, piece, start, length, ids, sequence_id, offset, ids_crc32.
 
-    A document is its token ids and the end id. Documents longer than ``capacity`` are cut into
+    ``ids`` are the piece's token ids, ``ids_crc32`` the digest of their little-endian bytes;
+    ``sequences`` joins the ids of each packed sequence. A document is its token ids and the end id. Documents longer than ``capacity`` are cut into
     pieces of it, of which the first may be shorter; no other is cut. Texts are tokenised once;
     the counts per length (at most ``capacity`` rows) are planned on the driver, and pieces find
     their place by their rank among pieces of their length, counted in buckets so that a common
@@ -262,14 +287,14 @@ def pack(docs, id_col="doc_id", text_col="text", path=None, capacity=CAPACITY):
     pieces = cut_lineage(
         rows.mapInArrow(
             partial(_pieces, path=path or vocabulary_path(), capacity=capacity),
-            "id long, piece int, start long, length long, ids_crc32 long",
+            "id long, piece int, start long, length long, ids binary",
         )
-    )
+    ).withColumn("ids_crc32", F.crc32("ids"))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     table = spark.sparkContext.broadcast(places(plan(counts, capacity)))
     parts = 1 + max(counts.values(), default=0) // RANKED
     ranked = bucket_rank(pieces, ["length"], F.pmod(F.xxhash64("id", "piece", "start"), F.lit(parts)), ["id", "piece"], "rank")
-    return ranked.select("id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank")).mapInArrow(
+    return ranked.select("id", "piece", "start", "length", "ids", "ids_crc32", F.col("rank").cast("long").alias("rank")).mapInArrow(
         partial(_placed, table=table),
-        "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
+        "id long, piece int, start long, length long, ids array<int>, sequence_id long, offset long, ids_crc32 long",
     ).withColumnRenamed("id", id_col)

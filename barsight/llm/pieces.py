@@ -201,6 +201,15 @@ def decode(p, ids):
     return out.decode(errors="replace")[1:]
 
 
+def _nested(rows):
+    """Lists of arrays of ids as one Arrow column."""
+    flat = [x for row in rows for x in row]
+    inner = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in flat])]), pa.int32())
+    outer = pa.array(np.concatenate([[0], np.cumsum([len(row) for row in rows])]), pa.int32())
+    ids = pa.array(np.concatenate([*flat, np.zeros(0, "<u4")]).astype(np.int32))
+    return pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, ids))
+
+
 def _encoded(batches, path, best):
     p = load(path)
     lists = {}
@@ -229,7 +238,7 @@ def _encoded(batches, path, best):
                     lists[word] = n_best(p, word, best)
                 options.append(lists[word])
             found = combined(float(score[place].sum()), options, best)
-            digests = []
+            lists_of_ids = []
             starts = np.concatenate([[0], np.cumsum(sizes[place])])
             for _, choice in found:
                 changed = sorted((int(where[j]), options[j][c][1]) for j, c in enumerate(choice) if c)
@@ -237,24 +246,26 @@ def _encoded(batches, path, best):
                 for word, new in changed:
                     parts += [own[last : starts[word]], np.array(new, np.uint32)]
                     last = starts[word + 1]
-                digests.append(zlib.crc32(np.concatenate([*parts, own[last:]]).astype("<u4").tobytes()))
-            rows.append((len(own), own.tolist(), [s for s, _ in found], digests))
-        n, own, scores, digests = zip(*rows) if rows else ((), (), (), ())
+                lists_of_ids.append(np.concatenate([*parts, own[last:]]).astype("<u4"))
+            digests = [zlib.crc32(x.tobytes()) for x in lists_of_ids]
+            rows.append((len(own), own.tolist(), [s for s, _ in found], lists_of_ids, digests))
+        n, own, scores, kept, digests = zip(*rows) if rows else ((), (), (), (), ())
         yield pa.record_batch(
             {
                 "id": batch.column(0),
                 "n_pieces": pa.array(n, pa.int64()),
                 "round_trip": pa.array([decode(p, x) == t for x, t in zip(own, texts)], pa.bool_()),
                 "scores": pa.array(scores, pa.list_(pa.float64())),
+                "ids": _nested(kept),
                 "ids_crc32": pa.array(digests, pa.list_(pa.int64())),
             }
         )
 
 
 def encode(docs, id_col="doc_id", text_col="text", path=None, best=BEST):
-    """One row per input row: id, n_pieces, round_trip, scores, ids_crc32.
+    """One row per input row: id, n_pieces, round_trip, scores, ids, ids_crc32.
 
-    ``scores`` and ``ids_crc32`` are those of the ``best`` best segmentations of the whole text,
+    ``scores``, ``ids`` (lists of piece ids) and ``ids_crc32`` are those of the ``best`` best segmentations of the whole text,
     best first (fewer if there are fewer); ``n_pieces`` counts the best one's pieces and
     ``round_trip`` tells whether decoding it gives the text back.
 
@@ -270,5 +281,18 @@ def encode(docs, id_col="doc_id", text_col="text", path=None, best=BEST):
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(
         partial(_encoded, path=path or model_path(), best=best),
-        "id long, n_pieces long, round_trip boolean, scores array<double>, ids_crc32 array<long>",
+        "id long, n_pieces long, round_trip boolean, scores array<double>, ids array<array<int>>, ids_crc32 array<long>",
     ).withColumnRenamed("id", id_col)
+
+
+def _decoded(batches, path):
+    p = load(path)
+    for batch in batches:
+        texts = [None if x is None else decode(p, x) for x in batch.column(1).to_pylist()]
+        yield pa.record_batch({"id": batch.column(0), "text": pa.array(texts, pa.string())})
+
+
+def decode_table(encoded, id_col="doc_id", ids_col="ids", path=None):
+    """(id, text): one row per input row, the text of a column of piece ids. Null ids give null."""
+    rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    return rows.mapInArrow(partial(_decoded, path=path or model_path()), "id long, text string").withColumnRenamed("id", id_col)

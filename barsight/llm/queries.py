@@ -86,7 +86,7 @@ def op1(spark, path):
 
 @query("op2_pack")
 def op2(spark, path):
-    return packing.pack(table(spark, path, "documents"))
+    return packing.pack(table(spark, path, "documents")).drop("ids")
 
 
 @query("op5_quality")
@@ -111,7 +111,7 @@ def op4(spark, path):
 
 @query("op3_pieces")
 def op3(spark, path):
-    return pieces.encode(table(spark, path, "documents"))
+    return pieces.encode(table(spark, path, "documents")).drop("ids")
 
 
 @query("op6_secret_scan")

@@ -83,3 +83,13 @@ def test_fast_encoder_equals_the_tokenizer():
         for text in (c, f"a{c}b", f" {c}{c} 1", f"{c}\n {c}'s"):
             assert not packing.COMMON.search(text)
             assert list(fast.encode_ordinary(text)) == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_sequences_hold_the_ids(spark):
+    got = packing.pack(table(spark))
+    rows = got.collect()
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"] for r in rows)
+    made = {r["sequence_id"]: r["ids"] for r in packing.sequences(got).collect()}
+    assert set(made) == {r["sequence_id"] for r in rows} and sum(map(len, made.values())) == sum(r["length"] for r in rows)
+    assert all(made[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == r["ids"] for r in rows)
+    assert packing.sequences(packing.pack(table(spark, []))).collect() == []

@@ -121,3 +121,12 @@ def test_piece_edge_cases(spark):
     assert len(got) == len(ROWS) and all(r["round_trip"] for r in got)
     assert all(r["scores"] == sorted(r["scores"], reverse=True) for r in got)
     assert pieces.encode(table(spark, [])).collect() == []
+
+
+def test_ids_decode_to_the_texts(spark):
+    rows = [(0, "the and"), (1, "an  in é\n\tx"), (2, ""), (3, None), (4, "漢 🙂 end ")]
+    got = pieces.encode(table(spark, rows), best=3)
+    for r in got.collect():
+        assert [zlib.crc32(np.array(x, "<u4").tobytes()) for x in r["ids"]] == r["ids_crc32"] and len(r["ids"][0]) == r["n_pieces"]
+    back = pieces.decode_table(got.selectExpr("doc_id", "ids[size(ids) - 1] AS ids"))
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: t or "" for i, t in rows}
