@@ -6,15 +6,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from barsight.llm.words import Words, slices
+from barsight.llm.words import Words, mix, slices
 from barsight.session import cut_lineage
 
 FOLDS = 10
 ADD = 0.1  # added to every word count
 ADD_CLASS = 0.5  # added to every class transition
-HEAD = 20_000  # words that are clustered, the most frequent ones
+HEAD = 20_000  # most frequent words, which the driver puts into first classes
 CLASSES = 48
-PASSES = 4
+PASSES = 4  # of the driver over these words
+RISE = 1e-4  # likelihood per token (nats) below which a round does not count as a rise
+LEAST_SHARE = 64  # rounds end if not even one in so many words can move with a rise
 BLOCK = 256  # words whose contexts are merged together
 HELD = 1 << 21
 STOP = np.uint64(0x5851F42D4C957F2D)  # hash of the end token, which is no word
@@ -168,49 +170,174 @@ def exchange(before, after, classes, count, fixed):
     return of[:-1], moves
 
 
+def _paired(batches):
+    """Neighbouring tokens of a text, with counts; an end stands before each text."""
+    for batch in batches:
+        for h, offsets in tokens_of(batch.column(0)):
+            before = np.empty_like(h)
+            before[1:] = h[:-1]
+            before[offsets[:-1]] = STOP
+            order = np.lexsort((h, before))
+            a, b = before[order], h[order]
+            heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            n = np.diff(np.append(heads, len(a)))
+            yield pa.record_batch({"a": pa.array(a[heads].view(np.int64)), "b": pa.array(b[heads].view(np.int64)), "n": pa.array(n)})
+
+
+def neighbours(pairs, of, head, stop):
+    """(h, c, n, around): every word with its class and how often each class stands before (0) and after (1) it.
+
+    Classes of the head words are broadcast (their number is fixed); others are joined by word.
+    """
+    few = F.broadcast(of.join(F.broadcast(head), "h", "left_semi").select(F.col("h").alias("k"), F.col("c").alias("d")))
+    many = of.join(F.broadcast(head), "h", "left_anti").select(F.col("h").alias("k"), F.col("c").alias("d"))
+    sides = None
+    for side, own, other in ((0, "b", "a"), (1, "a", "b")):
+        rows = pairs.select(F.col(own).alias("h"), F.col(other).alias("k"), F.col(f"{other}_head").alias("is_head"), F.col("n").alias("m"))
+        if side:
+            rows = rows.where(F.col("h") != stop)  # nothing follows an end
+        found = rows.where("is_head").join(few, "k").unionByName(rows.where("not is_head").join(many, "k"))
+        found = found.groupBy("h", "d").agg(F.sum("m").alias("m")).select("h", F.lit(side).alias("side"), "d", "m")
+        sides = found if sides is None else sides.unionByName(found)
+    around = sides.groupBy("h").agg(F.collect_list(F.struct("side", "d", "m")).alias("around"))
+    return of.join(around, "h")
+
+
+def likelihood(table):
+    """Log likelihood of the class bigrams, without the words' own counts, which no move changes."""
+    return _xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum()
+
+
+def _moved(batches, table, count, stop, share, turn):
+    """Each word that may move in this round goes to the class that most raises the likelihood."""
+    t = table.value
+    size = t.sum(axis=0)
+    for batch in batches:
+        h, c, n = (batch.column(x).to_numpy() for x in ("h", "c", "n"))
+        around = batch.column("around")
+        sizes = around.value_lengths().to_numpy()
+        flat = around.flatten()
+        side, d, m = (flat.field(i).to_numpy() for i in range(3))
+        word = np.repeat(np.arange(len(h)), sizes)
+        gain = np.zeros((len(h), count))
+        for first in range(0, len(word), 1 << 15):
+            part = slice(first, first + (1 << 15))
+            w, x = word[part], m[part].astype(float)
+            near = np.where((side[part] == 0)[:, None], t[d[part]], t.T[d[part]])[:, :count]
+            own = c[w]
+            inside = np.flatnonzero(own < count)
+            near[inside, own[inside]] -= x[inside]
+            near = np.maximum(near, 0)
+            np.add.at(gain, w, _xlogx(near + x[:, None]) - _xlogx(near))
+        rest = np.repeat(size[None, :count], len(h), axis=0)
+        inside = np.flatnonzero(c < count)
+        rest[inside, c[inside]] -= n[inside]
+        rest = np.maximum(rest, 0)
+        gain -= 2 * (_xlogx(rest + n[:, None]) - _xlogx(rest))
+        best = gain.argmax(axis=1)
+        now = gain[np.arange(len(h)), np.minimum(c, count - 1)]
+        free = (h != stop) & (mix(h.view(np.uint64)) % np.uint64(share) == np.uint64(turn % share))
+        move = np.where(c == count, h != stop, free & (gain.max(axis=1) > now + 1e-9))
+        yield pa.record_batch({"h": batch.column("h"), "c": pa.array(np.where(move, best, c).astype(np.int32)), "n": batch.column("n")})
+
+
+def clustered(pairs, of, head, count, stop):
+    """(words with classes, class bigram table): exchange over every word until the likelihood stops rising.
+
+    ``of`` (h, c, n) has class ``count`` for words without one; the first round puts them all into
+    classes. After it, a round moves a part of the words, by hash and in turn, as words that move
+    together do not see each other's moves; if the likelihood falls, the round is taken back and
+    smaller parts move. Only the class bigram table is broadcast.
+    """
+    spark = of.sparkSession
+
+    def state(of):
+        near = cut_lineage(neighbours(pairs, of, head, stop))
+        table = np.zeros((count + 1, count + 1))
+        rows = near.select("c", F.explode("around").alias("x")).where("x.side = 0").groupBy("c", "x.d").agg(F.sum("x.m").alias("m"))
+        for r in rows.collect():
+            table[r["d"], r["c"]] = r["m"]
+        return near, table, likelihood(table)
+
+    near, table, best = state(of)
+    least = RISE * max(table.sum(), 1)
+    share, turn, idle, first = 2, 0, 0, bool(table[:, count].any())
+    while first or share <= LEAST_SHARE:
+        moves = partial(_moved, table=spark.sparkContext.broadcast(table), count=count, stop=stop, share=share, turn=turn)
+        new = cut_lineage(near.mapInArrow(moves, "h long, c int, n long"))
+        after = state(new)
+        turn += 1
+        if first or after[2] > best:
+            idle = 0 if first or after[2] - best > least else idle + 1
+            of, (near, table, best) = new, after
+        else:
+            share, idle = share * 4, 0
+        first = False
+        if idle >= share:
+            break
+    return of, table
+
+
+def _rare(batches, head):
+    find = Lookup(head.value)
+    for batch in batches:
+        first = 0
+        for h, offsets in tokens_of(batch.column(1)):
+            rare = find(h) == len(head.value)
+            text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[rare]
+            seen = np.unique(np.rec.fromarrays([text, h[rare]], names="t,h"))
+            yield pa.record_batch({"row": batch.column(0).take(pa.array(seen.t + first)), "h": pa.array(np.ascontiguousarray(seen.h).view(np.int64))})
+            first += len(offsets) - 1
+
+
 def _scored(batches, head, model):
     m = model.value
     find = Lookup(head.value)
     for batch in batches:
         first = 0
-        for h, offsets in tokens_of(batch.column(1)):
-            n = len(offsets) - 1
-            at = find(h)
-            of = m["of"][at]
+        flat = batch.column("rare").flatten()
+        listed, at = np.unique(flat.field(0).to_numpy().view(np.uint64), return_index=True)
+        own, times = flat.field(1).to_numpy()[at], flat.field(2).to_numpy()[at].astype(float)
+        for h, offsets in tokens_of(batch.column("text")):
+            k = len(offsets) - 1
+            place = find(h)
+            of, n = m["of"][place], m["n"][place]
+            rare = np.flatnonzero(place == len(head.value))
+            if len(rare) and len(listed):
+                to = np.minimum(np.searchsorted(listed, h[rare]), len(listed) - 1)
+                good = listed[to] == h[rare]
+                of[rare[good]], n[rare[good]] = own[to[good]], times[to[good]]
             before = np.empty(len(of), np.int64)
             before[1:] = of[:-1]
-            before[offsets[:-1]] = m["of"][find(np.array([STOP], np.uint64))][0]
-            listed = at < len(head.value)
-            base = np.where(listed, m["base"][at], 0.0)
-            score = m["step"][before, of] + np.where(listed, m["emit"][at], 0.0)
-            cuts = np.searchsorted(np.flatnonzero(~listed), offsets)
+            before[offsets[:-1]] = m["stop"]
+            log = np.log10(n + ADD)
+            score = m["step"][before, of] + log - np.log10(m["size"][of] + ADD * m["kinds"][of])
             yield pa.record_batch(
                 {
-                    "id": batch.column(0).slice(first, n),
-                    "held_out": batch.column(2).slice(first, n),
+                    "id": batch.column("id").slice(first, k),
+                    "held_out": batch.column("held_out").slice(first, k),
                     "n_tokens": pa.array(np.diff(offsets)),
-                    "known": pa.array(np.add.reduceat(listed.astype(np.int64), offsets[:-1])),
-                    "base": pa.array(np.add.reduceat(base, offsets[:-1])),
+                    "n_known": pa.array(np.add.reduceat((n > 0).astype(np.int64), offsets[:-1])),
+                    "train_tokens": pa.array(np.full(k, m["total"], np.int64)),
+                    "base_score": pa.array(np.add.reduceat(log - m["floor"], offsets[:-1])),
                     "score": pa.array(np.add.reduceat(score, offsets[:-1])),
-                    "rare": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(h[~listed].view(np.int64))),
                 }
             )
-            first += n
+            first += k
 
 
 def text_scores(docs, id_col="doc_id", text_col="text", head_words=HEAD, classes=CLASSES, passes=PASSES):
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Counts come from all rows whose crc32(id) mod 10 is not 0. The ``head_words`` most frequent
-    words are put into ``classes`` classes by exchange: every pass counts, over all training texts,
-    which classes stand beside each word (a table whose size the settings fix), and moves words
-    where the class bigram likelihood rises. All other words form one class more.
+    Counts come from all rows whose crc32(id) mod 10 is not 0. Every training word is put into one
+    of ``classes`` classes by exchange: the ``head_words`` most frequent ones get their first classes
+    on the driver in ``passes`` passes, then rounds over all words, whose neighbours' classes are a
+    table by word, go on until the likelihood stops rising. Words never seen are one class more.
 
     score is the sum over tokens of log10 of
-    (n(c1 c2) + 0.5) / (n(c1) + 0.5 * classes) * (c + 0.1) / (n(c2) + 0.1 * words of c2),
-    where words outside the head, unseen ones included, take their own count c in the class of
-    rare words. base_score is the same with one class and no transition. Counts of rare words
-    are joined to the texts' rare words by a 64-bit hash.
+    (n(c1 c2) + 0.5) / (n(c1) + 0.5 * (classes + 1)) * (c + 0.1) / (n(c2) + 0.1 * words of c2),
+    where c is the word's own count. base_score is the same with one class and no transition.
+    Words outside the head meet their counts and classes by a 64-bit hash.
 
     Null and empty texts are one end token. A null id is learned from and returned as null. Repeated
     rows count each. With no training row all counts are 0. Other columns are not read.
@@ -236,45 +363,40 @@ def text_scores(docs, id_col="doc_id", text_col="text", head_words=HEAD, classes
         of, moves = exchange(before, after, of, classes, {stop})
         if not moves:
             break
-    before, _ = contexts(train, head, of, classes)
-    every = np.append(of, classes)
-    table = np.zeros((classes + 1, classes + 1))
-    np.add.at(table.T, every, before)
-    size = table.sum(axis=0)
-    kinds = np.bincount(every, minlength=classes + 1).astype(float)
-    kinds[classes] = max(vocabulary - int((n > 0).sum()), 0) + 1
-    step = np.log10((table + ADD_CLASS) / (table.sum(axis=1, keepdims=True) + ADD_CLASS * (classes + 1)))
-    floor = total + ADD * (vocabulary + 1)
+    end = int(STOP.view(np.int64))
+    keys = words.view(np.int64).tolist()
+    firsts = spark.createDataFrame(list(zip(keys, of.tolist())), "h long, c int")
+    names = cut_lineage(firsts.select("h"))
+    start = counts.join(F.broadcast(firsts), "h", "left").select("h", F.coalesce("c", F.lit(classes)).alias("c"), "n")
+    pairs = train.mapInArrow(_paired, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    for side in "ab":
+        listed = F.broadcast(names.select(F.col("h").alias(side), F.lit(True).alias(f"{side}_head")))
+        pairs = pairs.join(listed, side, "left").withColumn(f"{side}_head", F.coalesce(f"{side}_head", F.lit(False)))
+    found, table = clustered(cut_lineage(pairs), cut_lineage(start), names, classes, end)
+    kinds = np.zeros(classes + 1)
+    for r in found.groupBy("c").count().collect():
+        kinds[r["c"]] = r["count"]
+    kinds[classes] += 1
+    if not total:
+        kinds[classes - 1] = 1
+    final = {r["h"]: r["c"] for r in found.join(F.broadcast(names), "h", "left_semi").collect()}
     model = spark.sparkContext.broadcast(
         {
-            "of": every,
-            "step": step,
-            "base": np.append(np.log10((n + ADD) / floor), 0.0),
-            "emit": np.append(np.log10((n + ADD) / (size[of] + ADD * kinds[of])), 0.0),
+            "of": np.array([*(final.get(k, classes - 1 if k == end else classes) for k in keys), classes]),
+            "n": np.append(n, 0.0),
+            "stop": classes - 1,
+            "step": np.log10((table + ADD_CLASS) / (table.sum(axis=1, keepdims=True) + ADD_CLASS * (classes + 1))),
+            "size": table.sum(axis=0),
+            "kinds": kinds,
+            "total": total,
+            "floor": np.log10(total + ADD * (vocabulary + 1)),
         }
     )
-    scored = cut_lineage(
-        rows.select("id", "text", "held_out")
-        .mapInArrow(
-            partial(_scored, head=head, model=model),
-            "id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>",
-        )
-        .withColumn("row", F.monotonically_increasing_id())
-    )
-    rare = scored.select("row", F.explode("rare").alias("h")).join(counts, "h", "left")
-    log = F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(ADD))
-    sums = rare.groupBy("row").agg(
-        F.count("n").alias("rare_known"),
-        F.sum(log - F.lit(float(np.log10(floor)))).alias("rare_base"),
-        F.sum(log - F.lit(float(np.log10(size[classes] + ADD * kinds[classes])))).alias("rare_score"),
-    )
-    none = F.lit(0)
-    return scored.drop("rare").join(sums, "row", "left").select(
-        F.col("id").alias(id_col),
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", none)).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", none)).alias("base_score"),
-        (F.col("score") + F.coalesce("rare_score", none)).alias("score"),
+    numbered = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
+    rare = numbered.select("row", "text").mapInArrow(partial(_rare, head=head), "row long, h long").join(found, "h")
+    rare = rare.groupBy("row").agg(F.collect_list(F.struct("h", "c", "n")).alias("rare"))
+    scored = numbered.join(rare, "row", "left").mapInArrow(
+        partial(_scored, head=head, model=model),
+        "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
+    return scored.withColumnRenamed("id", id_col)

@@ -246,3 +246,14 @@ def test_secret_places_and_private_keys(spark):
     clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).where("doc_id > 90000").collect()}
     assert clean[90_001] == "see\n[SECRET]\nthat was it" and clean[90_002] == "see\n[SECRET]\n\nnothing more"
     assert twice not in clean[90_003]
+
+
+def test_all_words_are_clustered(spark):
+    rng = np.random.default_rng(4)
+    kinds = [[f"{k}{j}" for j in range(60)] for k in "abc"]
+    rows = [(i, " ".join(str(rng.choice(kinds[j % 3])) for j in range(30))) for i in range(200)]
+    got = class_lm.text_scores(table(spark, rows), head_words=30, classes=4).where("held_out").collect()
+    # kinds of words follow each other in turn: with all words in classes a token is one of 60
+    tokens = sum(r["n_tokens"] - 1 for r in got)
+    assert sum(r["score"] for r in got) / tokens > -math.log10(60) - 0.1
+    assert sum(r["base_score"] for r in got) / tokens < -math.log10(150)
