@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 
 def connect(path):
@@ -16,7 +17,7 @@ def connect(path):
 
 
 def _cell(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     return v
 
