@@ -13,6 +13,7 @@ from barsight.llm import (
     packing,
     pieces,
     quality,
+    resampling,
     secret_scan,
     substring_dedup,
 )
@@ -120,3 +121,53 @@ def op6(spark, path):
     return found.select(
         "doc_id", "start", F.length("candidate").alias("length"), "occurrences", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret"
     )
+
+
+@query(
+    "op11_importance_sample",
+    r"""
+    WITH crc AS MATERIALIZED (
+      SELECT list(c ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS c
+        FROM range(256) r(i))
+    ), texts AS (
+      SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark
+    ), words AS (
+      SELECT side, id, row_number() OVER () AS r,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM texts
+    ), runs AS (
+      SELECT side, r, array_to_string(w[i:i + k - 1], ' ') AS f, count(*) AS n
+      FROM (SELECT side, r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 4) s(k))
+      GROUP BY ALL
+    ), hashed AS (
+      SELECT f, xor(list_reduce(range(length(hex(encode(f))) // 2),
+                    lambda c, j: xor(c // 256, t[1 + xor(c % 256, CAST('0x' || substr(hex(encode(f)), 2 * j + 1, 2) AS BIGINT))]),
+                    4294967295), 4294967295) % 10000 AS b
+      FROM (SELECT DISTINCT f FROM runs), crc
+    ), per AS (
+      SELECT side, r, b, CAST(sum(n) AS BIGINT) AS n FROM runs JOIN hashed USING (f) GROUP BY ALL
+    ), bucket AS (
+      SELECT b, sum(n) FILTER (side = 'd') AS s, sum(n) FILTER (side = 't') AS t FROM per GROUP BY b
+    ), sums AS (
+      SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM bucket
+    ), gain AS (
+      SELECT b, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (s_all + 10000) AS DOUBLE) / CAST((coalesce(s, 0) + 1) * (t_all + 10000) AS DOUBLE))) AS BIGINT) AS g
+      FROM bucket, sums
+    ), weighed AS (
+      SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * g) AS BIGINT) AS weight
+      FROM per JOIN gain USING (b) WHERE side = 'd' GROUP BY r
+    ), scored AS (
+      SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+      FROM words LEFT JOIN weighed USING (r) WHERE side = 'd'
+    ), drawn AS (
+      SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+    )
+    SELECT s.doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank
+    FROM scored s LEFT JOIN drawn d ON s.doc_id = d.doc_id
+    """,
+)
+def op11(spark, path):
+    return resampling.importance_sample(table(spark, path, "documents"), table(spark, path, "benchmark"))
