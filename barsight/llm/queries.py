@@ -16,6 +16,7 @@ from barsight.llm import (
     resampling,
     secret_scan,
     substring_dedup,
+    vector_codes,
 )
 
 QUERIES, ORACLE = {}, {}
@@ -171,3 +172,44 @@ def op6(spark, path):
 )
 def op11(spark, path):
     return resampling.importance_sample(table(spark, path, "documents"), table(spark, path, "benchmark"))
+
+
+def _codebook_sql(rounds=2):
+    """Rounds of assignment and floored means, one pair of expressions a round."""
+    text = r"""
+    WITH kept AS (
+      SELECT vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ), parts AS (
+      SELECT vec_id, label, p, v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16] AS c FROM kept, range(16) r(p)
+    ), book0 AS (
+      SELECT p, dense_rank() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, c FROM parts
+      QUALIFY e < 64
+    )"""
+    for k in range(rounds + 1):
+        text += f""", near{k} AS (
+      SELECT vec_id, label, p, any_value(c) AS c, min(d * 64 + e) % 64 AS e, min(d * 64 + e) // 64 AS d
+      FROM (SELECT a.vec_id, a.label, a.p, a.c, b.e, list_sum([power(a.c[i] - b.c[i], 2)::BIGINT FOR i IN range(1, len(a.c) + 1)])::BIGINT AS d
+            FROM parts a JOIN book{k} b USING (p))
+      GROUP BY vec_id, label, p
+    )"""
+        if k < rounds:
+            text += f""", means{k} AS (
+      SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c
+      FROM (SELECT p, e, i, CAST(sum(c[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT p, e, c, unnest(range(1, len(c) + 1)) AS i FROM near{k}) GROUP BY ALL)
+      GROUP BY p, e
+    ), book{k + 1} AS (
+      SELECT p, e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN means{k} m USING (p, e)
+    )"""
+    return text + f""", coded AS (
+      SELECT vec_id, label, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id, label
+    )
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+           (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+    FROM coded
+    """
+
+
+@query("op12_vector_codes", _codebook_sql())
+def op12(spark, path):
+    return vector_codes.compress(table(spark, path, "embeddings"))
