@@ -11,6 +11,7 @@ from barsight.llm import (
     imatch,
     near_dedup,
     packing,
+    personal,
     pieces,
     quality,
     resampling,
@@ -213,3 +214,8 @@ def _codebook_sql(rounds=2):
 @query("op12_vector_codes", _codebook_sql())
 def op12(spark, path):
     return vector_codes.compress(table(spark, path, "embeddings"))
+
+
+@query("op13_personal_data")
+def op13(spark, path):
+    return personal.summary(personal.find(table(spark, path, "documents")))
