@@ -12,7 +12,8 @@ from barsight.session import cut_lineage
 
 SEED = 7
 GROWTH = 8
-ORDERS = 2
+ORDERS = 1
+CENTRAL = 1 << 30  # classes met that are told apart
 STEPS = 1
 LISTED = 1_000_000  # ids of eight bytes that are broadcast at most
 
@@ -130,9 +131,10 @@ def near_groups(docs, id_col="doc_id", text_col="text", k=5, percent=80, bands=4
     inside one component already or tested: by signature (five standard deviations below the
     threshold), then on both full sets.
 
-    A bucket is never expanded into its pairs at once. First, ORDERS times, every class meets one
-    class of each other component: the smallest id among the pivots of its buckets, a pivot being
-    the bucket's first member in a random order. Then, in round t, members whose hash is among the
+    A bucket is never expanded into its pairs at once. First every class meets one class of each
+    other component: the smallest id among the pivots of its buckets. The first pivot of a bucket
+    is the member that meets most classes in its own buckets, so that the middle of a large group
+    gathers it; those of ORDERS more rounds come first in a random order. Then, in round t, members whose hash is among the
     lowest ``8^t / size`` share of their bucket meet the members behind them, but only across
     components, for STEPS rounds: enough for every small bucket, and a bounded number of pairs per
     member of a large one. Members of large buckets that are still apart then find each other by
@@ -158,9 +160,14 @@ def near_groups(docs, id_col="doc_id", text_col="text", k=5, percent=80, bands=4
         return F.shiftrightunsigned(F.xxhash64(F.col("cid"), F.lit(seed)), 1)
 
     spread = firsts.select("cid", F.explode("bands").alias("bucket"))
-    orders = [f"low{i}" for i in range(ORDERS)]
-    buckets = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.min(hashed(i)).alias(c) for i, c in enumerate(orders)])
-    members = cut_lineage(spread.join(buckets.where("n > 1"), "bucket"))
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    spread = cut_lineage(spread.join(shared, "bucket"))
+    # how many meet a class in its buckets: a class in the middle of its group meets most
+    met = spread.groupBy("cid").agg(F.least(F.sum("n"), F.lit(CENTRAL)).alias("met"))
+    spread = spread.join(met, "cid").withColumn("first", (CENTRAL - F.col("met")) * (1 << 32) + F.shiftrightunsigned(hashed(0), 31)).drop("met")
+    keys = {"lowest": F.col("first"), **{f"low{i}": hashed(i) for i in range(ORDERS)}}
+    buckets = spread.groupBy("bucket").agg(*[F.min(k).alias(c) for c, k in keys.items()])
+    members = cut_lineage(spread.join(buckets, "bucket"))
     signs = firsts.select("cid", "sign")
     sets = None
     labels = None
@@ -201,9 +208,9 @@ def near_groups(docs, id_col="doc_id", text_col="text", k=5, percent=80, bands=4
             links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
         labels = components(links)
 
-    for seed, low in enumerate(orders):
+    for low, key in keys.items():
         now = state()
-        pivots = now.where(hashed(seed) == F.col(low)).select("bucket", F.col("cid").alias("p"), F.col("comp").alias("pc"))
+        pivots = now.where(key == F.col(low)).select("bucket", F.col("cid").alias("p"), F.col("comp").alias("pc"))
         merge(now.join(pivots, "bucket").where("comp <> pc").groupBy(F.col("cid").alias("m"), "pc").agg(F.min("p").alias("p")).select("p", "m"))
 
     step = 0
