@@ -6,15 +6,16 @@ from collections import defaultdict
 from functools import lru_cache, partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark import TaskContext
+from pyspark.sql import Window as W, functions as F
 
-from barsight.functions.ranking import bucket_rank
 from barsight.session import cut_lineage
 
 CAPACITY = 2048
 END = 0
-RANKED = 50_000  # rows of one length that one task ranks, about
+LISTED = 1_000_000  # (task, length) counts that are broadcast at most
 SMALL = 16  # lengths up to capacity / SMALL are small
 GROUPS = 1024
 # Characters whose classes do not depend on a library's Unicode version.
@@ -61,16 +62,20 @@ def cut_points(n, capacity=CAPACITY):
 
 
 def _pieces(batches, path, capacity):
+    """Pieces of the texts, numbered by task and, for each length, in the task's order."""
+    part, seen = TaskContext.get().partitionId(), defaultdict(int)
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+    names = ["id", "piece", "start", "length", "ids", "part", "ordinal"]
     for batch in batches:
         rows = []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids = np.append(encode(text or "", path), np.uint32(END)).astype("<u4")
             starts = cut_points(len(ids), capacity)
             for piece, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
-                rows.append((i, piece, a, b - a, ids[a:b].tobytes()))
-        columns = list(zip(*rows)) if rows else [()] * 5
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "piece", "start", "length", "ids"])
+                rows.append((i, piece, a, b - a, ids[a:b].tobytes(), part, seen[b - a]))
+                seen[b - a] += 1
+        columns = list(zip(*rows)) if rows else [()] * len(kinds)
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
 class Gaps:
@@ -235,17 +240,20 @@ def places(runs):
     return np.array(sorted(rows), np.int64).reshape(-1, 3)
 
 
-def _placed(batches, table):
-    names = ["id", "piece", "start", "length", "ids"]
-    for batch in batches:
-        key = (batch.column("length").to_numpy() << 40) + batch.column("rank").to_numpy() - 1
+def _placing(table):
+    """Column function of (length, rank from 0): (sequence_id, offset)."""
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        key = (length.to_numpy() << 40) + rank.to_numpy()
         row = table.value[np.searchsorted(table.value[:, 0], key, "right") - 1]
-        columns = [batch.column(n) for n in names[:-1]] + [_lists(batch.column("ids"))]
-        columns += [pa.array(row[:, 1] + key - row[:, 0]), pa.array(row[:, 2]), batch.column("ids_crc32")]
-        yield pa.record_batch(columns, names=[*names, "sequence_id", "offset", "ids_crc32"])
+        return pd.DataFrame({"sequence_id": row[:, 1] + key - row[:, 0], "offset": row[:, 2]})
 
+    return place
 
-def _lists(raw):
+
+@F.arrow_udf("array<int>")
+def _lists(raw: pa.Array) -> pa.Array:
     """Little-endian bytes of ids as lists of int."""
     cells = raw.to_pylist()
     offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in cells])])
@@ -273,11 +281,14 @@ def pack(docs, id_col="doc_id", text_col="text", path=None, capacity=CAPACITY):
     """One row per piece: id, piece, start, length, ids, sequence_id, offset, ids_crc32.
 
     ``ids`` are the piece's token ids, ``ids_crc32`` the digest of their little-endian bytes;
-    ``sequences`` joins the ids of each packed sequence. A document is its token ids and the end id. Documents longer than ``capacity`` are cut into
-    pieces of it, of which the first may be shorter; no other is cut. Texts are tokenised once;
-    the counts per length (at most ``capacity`` rows) are planned on the driver, and pieces find
-    their place by their rank among pieces of their length, counted in buckets so that a common
-    length is ranked by many tasks. The plan's table depends on the number of lengths only.
+    ``sequences`` joins the ids of each packed sequence. A document is its token ids and the end id. Documents longer than ``capacity`` are cut into pieces of it, of which the first may be
+    shorter; no other is cut.
+
+    Texts are tokenised once, by tasks that also number their pieces of each length. The counts per
+    task and length, summed in task order, give every piece its rank among all pieces of its length
+    without another shuffle of pieces; the counts per length (at most ``capacity`` rows) are planned
+    on the driver, and rank and length give the place. The plan's table depends on the number of
+    lengths only. The ids are read again only if they are asked for.
 
     Null and empty texts are one piece of the end id. A null id is carried along. Repeated rows
     are packed each. Other columns are not read; an empty table gives no rows.
@@ -287,14 +298,16 @@ def pack(docs, id_col="doc_id", text_col="text", path=None, capacity=CAPACITY):
     pieces = cut_lineage(
         rows.mapInArrow(
             partial(_pieces, path=path or vocabulary_path(), capacity=capacity),
-            "id long, piece int, start long, length long, ids binary",
-        )
-    ).withColumn("ids_crc32", F.crc32("ids"))
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+            "id long, piece int, start long, length long, ids binary, part int, ordinal long",
+        ).withColumn("ids_crc32", F.crc32("ids"))
+    )
+    before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    per_task = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
+    per_task = cut_lineage(per_task.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = spark.sparkContext.broadcast(places(plan(counts, capacity)))
-    parts = 1 + max(counts.values(), default=0) // RANKED
-    ranked = bucket_rank(pieces, ["length"], F.pmod(F.xxhash64("id", "piece", "start"), F.lit(parts)), ["id", "piece"], "rank")
-    return ranked.select("id", "piece", "start", "length", "ids", "ids_crc32", F.col("rank").cast("long").alias("rank")).mapInArrow(
-        partial(_placed, table=table),
-        "id long, piece int, start long, length long, ids array<int>, sequence_id long, offset long, ids_crc32 long",
-    ).withColumnRenamed("id", id_col)
+    offsets = per_task.select("part", "length", "before")
+    if offsets.count() <= LISTED:
+        offsets = F.broadcast(offsets)
+    placed = pieces.join(offsets, ["part", "length"]).withColumn("place", _placing(table)("length", F.col("before") + F.col("ordinal")))
+    return placed.select(F.col("id").alias(id_col), "piece", "start", "length", _lists("ids").alias("ids"), "place.sequence_id", "place.offset", "ids_crc32")

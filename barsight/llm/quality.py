@@ -13,7 +13,8 @@ STRIDE = 2
 HALF = 128  # bytes; a chunk is two halves, chunks overlap by one
 FILTERS = 24
 SAMPLE = 3000  # labelled rows that the network is fitted on, at most
-LONGEST = 200_000  # characters; longer texts are scored, not drawn for the sample
+WINDOW = 40_000  # characters of a drawn text that the network is fitted on, from a place given by its id
+BLOCK = 1 << 13  # halves whose filter outputs are held at once
 STEPS = 600  # of 64 texts each
 
 
@@ -49,7 +50,8 @@ def chunk_rows(at):
 
 def features(buffer, at, net):
     """Mean and maximum over a text's chunks of each filter's largest output in the chunk."""
-    half = np.maximum(responses(buffer, net["table"], net["bias"]).max(axis=1), 0)
+    blocks = [buffer[a * HALF : (a + BLOCK) * HALF + WIDTH] for a in range(0, at[-1], BLOCK)]
+    half = np.concatenate([np.maximum(responses(b, net["table"], net["bias"]).max(axis=1), 0) for b in blocks])
     first, second, _, starts = chunk_rows(at)
     chunk = np.maximum(half[first], half[second])
     mean = np.add.reduceat(chunk, starts[:-1], axis=0) / np.diff(starts)[:, None]
@@ -146,10 +148,12 @@ def held_out(id_column, folds=5):
 
 
 def sample_rows(docs, labels, id_col, text_col, label_col, rows=SAMPLE):
-    """At most ``rows`` labelled training texts, those with the smallest id hashes."""
+    """At most ``rows`` labelled training texts, those with the smallest id hashes; of longer ones a window."""
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
-    texts = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & (F.length(F.coalesce(F.col(text_col), F.lit(""))) <= LONGEST))
-    texts = texts.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    start = F.pmod(F.xxhash64(F.col(id_col)), F.greatest(F.length(text) - WINDOW + 1, F.lit(1))).cast("int")
+    texts = texts.select(F.col(id_col).alias("id"), F.substring(text, start + 1, F.lit(WINDOW)).alias("text"))
     # ids first, so that only the drawn rows carry their text through the sort
     ids = texts.select("id").distinct().join(marks, "id").orderBy(F.xxhash64("id"), "id").limit(rows)
     return texts.join(F.broadcast(ids), "id").select("text", "label")
@@ -160,8 +164,8 @@ def quality_scores(docs, labels, id_col="doc_id", text_col="text", label_col="qu
 
     Learned byte filters slide over overlapping chunks that cover the whole text; each chunk keeps
     a filter's largest output, and their mean and maximum over the chunks give one probability.
-    The network is fitted on at most ``sample`` labelled rows whose crc32(id) mod 5 is not 0, of
-    at most LONGEST characters; every row is scored. Only the text is an input.
+    The network is fitted on at most ``sample`` labelled rows whose crc32(id) mod 5 is not 0, on
+    at most WINDOW characters of each; every row is scored, on its whole text. Only the text is an input.
 
     Null and empty texts are scored as a text without bytes. Without labels, or with one kind only,
     the score is the smoothed share of label 1. Conflicting labels of an id count as the larger.

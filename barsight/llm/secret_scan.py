@@ -12,7 +12,7 @@ from barsight.session import cut_lineage
 
 SAMPLE = 5000  # labelled findings of each kind that the forest is trained on, at most
 LISTED = 1_000_000
-KNOWN_WORD = 5  # occurrences that make a word part of the dictionary
+KNOWN_SHARE = 1e-4  # of all rows (two at least) that a word of the dictionary stands in
 MASK = "[SECRET]"
 
 # Where candidates come from. Fixed values.
@@ -92,11 +92,13 @@ def _parts(candidate):
 
 
 def dictionary(docs, parts, text_col="text"):
-    """Words of the texts, of those in ``parts``, that occur often enough."""
+    """Words of the texts, of those in ``parts``, that stand in a large enough share of the rows."""
     if parts.count() <= LISTED:
         parts = F.broadcast(parts)
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"(?<![a-z0-9])([a-z]{4,})(?![a-z0-9])"), F.lit(1))).alias("part"))
-    return words.join(parts, "part", "left_semi").groupBy("part").count().where(F.col("count") >= KNOWN_WORD).select("part")
+    found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"(?<![a-z0-9])([a-z]{4,})(?![a-z0-9])"), F.lit(1))
+    words = docs.select(F.explode(F.array_distinct(found)).alias("part"))
+    least = max(2, KNOWN_SHARE * docs.count())
+    return words.join(parts, "part", "left_semi").groupBy("part").count().where(F.col("count") >= least).select("part")
 
 
 def features(found, known):
