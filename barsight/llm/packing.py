@@ -252,12 +252,16 @@ def _placing(table):
     return place
 
 
-@F.arrow_udf("array<int>")
-def _lists(raw: pa.Array) -> pa.Array:
-    """Little-endian bytes of ids as lists of int."""
-    cells = raw.to_pylist()
-    offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in cells])])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(cells), "<i4"), pa.int32()))
+def _lists():
+    """Column function of the little-endian bytes of ids: lists of int."""
+
+    @F.arrow_udf("array<int>")
+    def lists(raw: pa.Array) -> pa.Array:
+        cells = raw.to_pylist()
+        offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in cells])])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(cells), "<i4"), pa.int32()))
+
+    return lists
 
 
 def _joined(batches):
@@ -310,4 +314,4 @@ def pack(docs, id_col="doc_id", text_col="text", path=None, capacity=CAPACITY):
     if offsets.count() <= LISTED:
         offsets = F.broadcast(offsets)
     placed = pieces.join(offsets, ["part", "length"]).withColumn("place", _placing(table)("length", F.col("before") + F.col("ordinal")))
-    return placed.select(F.col("id").alias(id_col), "piece", "start", "length", _lists("ids").alias("ids"), "place.sequence_id", "place.offset", "ids_crc32")
+    return placed.select(F.col("id").alias(id_col), "piece", "start", "length", _lists()("ids").alias("ids"), "place.sequence_id", "place.offset", "ids_crc32")
