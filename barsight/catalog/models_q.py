@@ -14,11 +14,14 @@ from barsight.sources.market import split_of
 PLAIN = ["cum_ret", "vol", "range_hl", "max_high", "min_low", "mean_bar_ret"]
 
 
-def parts(m):
-    """Train and test inputs; the bars are cut once and read by every later step."""
+def parts(m, texts=False):
+    """Train and test inputs; the bars are cut once and read by every later step.
+
+    Headlines carry their text only if a model reads it, as counts don't need the documents.
+    """
     bars = cut_lineage(m.bars()).withColumn("split", split_of("session"))
     events = m.events().withColumn("split", split_of("session"))
-    heads = events.select("session", "bar_ix", "split")
+    heads = cut_lineage(m.headlines()).withColumn("split", split_of("session")) if texts else events.select("session", "bar_ix", "split")
     return SP.parts_of(bars, heads, events)
 
 
@@ -269,7 +272,7 @@ def top_features(m):
 def shift(m):
     f = cut_lineage(B.baseline_features(m.seen()))
     train, test = f.where(split_of("session") == "train"), f.where(split_of("session") != "train")
-    table, _ = TR.shift_check(train, test, PLAIN, cut_lineage(G.kfold(f, 5)), rounds=400)
+    table, _ = TR.shift_check(train, test, PLAIN, cut_lineage(G.kfold(f, 5)))
     return table
 
 
@@ -288,9 +291,9 @@ def attribution(m):
 @query("j29_oof_regime_forecasts")
 def oof_regimes(m):
     emissions, seqs = sequences_of(m)
-    folds = cut_lineage(G.kfold(seqs, 2))
-    a = RG.oof_forecasts(seqs, folds, 2, n_iter=3, n_starts=1).withColumn("method", F.lit("m1"))
-    b = RG.oof_mixture_forecasts(seqs, emissions, folds, 2, k=2, max_rounds=1, min_size=2, n_iter=2, n_starts=1)
+    folds = cut_lineage(G.kfold(seqs, 5))
+    a = RG.oof_forecasts(seqs, folds).withColumn("method", F.lit("m1"))
+    b = RG.oof_mixture_forecasts(seqs, emissions, folds)
     return a.unionByName(b.withColumn("method", F.lit("m2")))
 
 
@@ -400,13 +403,12 @@ def augmented_bars(m):
 
 @query("p01_tailored_predictor")
 def tailored(m):
-    out = PP.tailored(*parts(m), k=2, seeds=(0,), rows=m.rows("supplier"), rounds=3, rate=0.1, depth=2, trees=3)
-    return out["ranking"]
+    return PP.tailored(*parts(m), rows=m.rows("supplier"))["ranking"]
 
 
 @query("p02_probabilistic_predictor")
 def probabilistic(m):
-    return PP.probabilistic(*parts(m), rows=m.rows("supplier"))["ranking"]
+    return PP.probabilistic(*parts(m, texts=True), rows=m.rows("supplier"))["ranking"]
 
 
 @query("p03_regime_predictor")

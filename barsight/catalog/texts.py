@@ -194,9 +194,11 @@ def presence(m):
     return E.entity_presence(named(m))
 
 
+# every name against every headline
 @query("c09_mention_position", shaped("entity:s headlines:i at_start:i elsewhere:i", f"""
-SELECT entity, count(*) AS headlines, count(*) FILTER (starts_with(headline, entity)) AS at_start,
-  count(*) FILTER (contains(headline, entity) AND NOT starts_with(headline, entity)) AS elsewhere FROM ({CLEAN}) GROUP BY 1""", "head"))
+SELECT entity, any_value(own) AS headlines, coalesce(sum(n) FILTER (starts_with(headline, entity)), 0) AS at_start,
+  coalesce(sum(n) FILTER (contains(headline, entity) AND NOT starts_with(headline, entity)), 0) AS elsewhere
+FROM (SELECT entity, count(*) AS own FROM ({CLEAN}) GROUP BY 1), (SELECT headline, count(*) AS n FROM head GROUP BY 1) GROUP BY 1""", "head"))
 def mentions(m):
     return E.mention_position(named(m), "entity")
 

@@ -55,15 +55,21 @@ class StateModel:
 
 @dataclass(frozen=True)
 class Job:
-    """One model to fit: ``only`` keeps sequences of a tag, ``skip`` leaves a tag out."""
+    """One model to fit: ``only`` keeps sequences of a tag, ``skip`` leaves a tag out.
+
+    Where sequences carry a list of tags, ``group`` says which one is meant.
+    """
 
     k: int = 3
     kind: str = "diag"
     seed: int = 0
     only: int | None = None
     skip: int | None = None
+    group: int | None = None
 
     def uses(self, tags):
+        if self.group is not None:
+            tags = tags[:, self.group]
         if self.only is not None:
             return tags == self.only
         if self.skip is not None:
@@ -191,6 +197,8 @@ def _sums(seqs, work, width):
         sums = {}
         for pdf in batches:
             tags = pdf["tag"].to_numpy()
+            if tags.dtype == object:
+                tags = np.stack(tags)
             for rows, x in _stacks(pdf):
                 for k, v in work(x, tags[rows]).items():
                     sums[k] = sums.get(k, 0.0) + v
@@ -409,18 +417,18 @@ def forecast_sessions(seqs, model, horizon=50, seen_bars=50):
     return forecast(post, [forward_table(model, horizon)])
 
 
-def responsibilities(scores, temperature=1.0):
-    """Softmax of per-model log-likelihoods: (session, resp array, best model)."""
+def responsibilities(scores, temperature=1.0, by=("session",)):
+    """Softmax of per-model log-likelihoods: (session, resp array, best model), models in order within ``by``."""
     logs = F.transform(
         F.sort_array(F.collect_list(F.struct("model", "loglik"))), lambda s: s["loglik"]
     )
-    wide = scores.groupBy("session").agg(logs.alias("ll"))
+    wide = scores.groupBy(*by).agg(logs.alias("ll"))
     scaled = F.transform("ll", lambda x: F.exp((x - F.array_max("ll")) / max(temperature, 1e-6)))
     wide = wide.withColumn("_e", scaled)
     total = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
     best = F.array_position("ll", F.array_max("ll")) - 1
     return wide.select(
-        "session", "ll", F.transform("_e", lambda x: x / total).alias("resp"), best.cast("int").alias("best")
+        *by, "ll", F.transform("_e", lambda x: x / total).alias("resp"), best.cast("int").alias("best")
     )
 
 

@@ -178,16 +178,55 @@ def cluster_models(seqs, emissions, n_clusters=2, k=3, max_rounds=5, min_size=10
     return models, state.withColumnRenamed("tag", "cluster").join(flow.select("session", "resp"), "session"), moves
 
 
+def _fold_starts(emissions, folds, ids, n_clusters, seed):
+    """(session, g, tag): for the g-th fold, the first cluster of every session outside it."""
+    summary = cut_lineage(session_summary(emissions).join(folds.select("session", "fold"), "session"))
+    parts = []
+    for g, fold in enumerate(ids):
+        start = kmeans_labels(summary.where(F.col("fold") != fold), SUMMARY_COLUMNS, n_clusters, seed)
+        state = _filled(cut_lineage(start.select("session", F.col("cluster").alias("tag"))), n_clusters)
+        parts.append(state.select("session", F.lit(g).alias("g"), "tag"))
+    return cut_lineage(reduce(lambda a, b: a.unionByName(b), parts))
+
+
+def fold_cluster_models(seqs, emissions, folds, n_clusters=2, k=3, max_rounds=5, min_size=100, temperature=1.0,
+                        seed=0, kind="diag", **fit):
+    """``cluster_models`` for every leave-fold-out set at once: {fold: models}.
+
+    A sequence carries its cluster for each fold left out (-1 in its own), and every (fold, cluster)
+    is a job of the same passes. Folds follow the rules of ``cluster_models`` one by one; a fold
+    that has settled takes no part in later rounds.
+    """
+    ids = sorted(r[0] for r in folds.select("fold").distinct().collect())
+    state = _fold_starts(emissions, folds, ids, n_clusters, seed)
+    models, running = {}, list(range(len(ids)))
+    for _ in range(max(1, max_rounds)):
+        lists = state.groupBy("session").agg(F.collect_list(F.struct("g", "tag")).alias("own"))
+        found = lambda g: F.filter("own", lambda x: x["g"] == g)
+        lists = lists.select("session", F.array(*[F.coalesce(F.get(found(g), F.lit(0))["tag"], F.lit(-1)) for g in range(len(ids))]).alias("tag"))
+        tagged = cut_lineage(seqs.drop("tag").join(lists, "session"))
+        jobs = [Job(k, kind, seed, only=c, group=g) for g in running for c in range(n_clusters)]
+        fitted = fit_models(tagged, jobs, **fit)
+        models.update({g: fitted[i * n_clusters : (i + 1) * n_clusters] for i, g in enumerate(running)})
+        scores = posteriors(tagged, fitted).select("session", F.array(*map(F.lit, running))[F.floor(F.col("model") / n_clusters).cast("int")].alias("g"), "model", "loglik")
+        best = responsibilities(scores, temperature, ("session", "g")).select("session", "g", "best")
+        flow = cut_lineage(state.join(best, ["session", "g"], "left"))
+        counts = {g: np.zeros((n_clusters, n_clusters), int) for g in running}
+        for g, old, new, n in flow.where("best is not null").groupBy("g", "tag", "best").count().collect():
+            counts[g][old, new] = n
+        allowed = {g: n_clusters == 1 or c.sum(axis=0).min() >= min_size for g, c in counts.items()}
+        running = [g for g in running if allowed[g] and counts[g].trace() != counts[g].sum()]
+        if not running:
+            break
+        state = cut_lineage(flow.select("session", "g", F.when(F.col("g").isin(running), F.col("best")).otherwise(F.col("tag")).alias("tag")))
+    return {ids[g]: m for g, m in models.items()}
+
+
 def oof_mixture_forecasts(seqs, emissions, folds, n_clusters=2, seen_bars=50, horizon=50, **options):
-    """Clustered forecasts, each fold predicted from clusters fitted on the others."""
-    out = None
-    for i in sorted(r[0] for r in folds.select("fold").distinct().collect()):
-        inside = folds.where(F.col("fold") == i).select("session")
-        rest = folds.where(F.col("fold") != i).select("session")
-        models, _, _ = cluster_models(
-            seqs.join(rest, "session", "left_semi"), emissions.join(rest, "session", "left_semi"), n_clusters, **options
-        )
-        part = mixture_forecast(seqs.join(inside, "session", "left_semi"), models, horizon, seen_bars)
-        part = part.withColumn("fold", F.lit(i))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Clustered forecasts, each fold predicted from clusters fitted on the others in shared passes."""
+    tagged = seqs.drop("tag").join(folds.select("session", "fold"), "session")
+    parts = [
+        mixture_forecast(tagged.where(F.col("fold") == fold).drop("fold"), models, horizon, seen_bars).withColumn("fold", F.lit(fold))
+        for fold, models in fold_cluster_models(seqs, emissions, folds, n_clusters, **options).items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -2,7 +2,6 @@
 
 from statistics import median
 
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -11,7 +10,9 @@ from pyspark.sql import functions as F
 
 from barsight.functions.ranking import quantiles
 from barsight.functions.scalars import economic_weight
+from barsight.operators.boosting import Booster, Fit
 from barsight.operators.sampling import holdout_split
+from barsight.session import cut_lineage
 
 
 def vectors(df, columns):
@@ -69,48 +70,57 @@ class QuantileForest:
         return cells.groupBy("session").agg(*[F.avg(f"q{i}").alias(f"q{i}") for i in range(len(self.qs))])
 
 
+QUANTILES = (0.1, 0.5, 0.9)
+HEADS = {"mean": ("huber", "R", 0.5), "sign": ("log", "_up", 0.5), **{f"q{int(100 * q):02d}": ("pinball", "R", q) for q in QUANTILES}}
+
+
+def head_fits(rounds, patience, hold, **shared):
+    """Fits of the mean, sign and quantile heads; ``rounds`` is a number, or {head: number} without early stopping."""
+    out = []
+    for name, (loss, label, q) in HEADS.items():
+        fixed = isinstance(rounds, dict)
+        own = max(1, int(rounds[name])) if fixed else rounds
+        out.append(Fit(loss, label, q=q, rounds=own, patience=0 if fixed else patience, hold=0.0 if fixed else hold, **shared))
+    return out
+
+
+def _with_sign(df):
+    return df.where("R is not null").withColumn("_up", (F.col("R") > 0).cast("double"))
+
+
 class TreeHeads:
-    """Mean, sign and quantile heads with economic sample weights."""
+    """Boosted mean (Huber loss), sign and quantile (pinball loss) heads with economic sample weights.
+
+    All heads advance in the same passes. With ``trees`` the quantiles come from a forest instead.
+    """
 
-    def __init__(self, columns, rounds=1500, rate=0.02, depth=6, seed=0, min_u=1e-6, trees=20, rows=None,
-                 holdout=0.12):
+    def __init__(self, columns, rounds=1500, rate=0.02, depth=6, seed=0, min_u=1e-6, trees=None, rows=None,
+                 holdout=0.12, patience=100, min_rows=30):
         self.columns, self.rounds, self.rate, self.depth = columns, rounds, rate, depth
         self.seed, self.min_u, self.trees, self.rows, self.holdout = seed, min_u, trees, rows, holdout
+        self.patience, self.min_rows = patience, min_rows
 
     def fit(self, train, rounds=None):
         """Early stopping on a hash holdout, or exactly ``rounds`` ({head: number}) if given."""
-        rows = train.where("R is not null")
+        rows = _with_sign(train)
         std = rows.agg(F.stddev_pop("R").alias("s")).first()["s"] or 0.0
-        rows = vectors(rows, self.columns).withColumn("_w", economic_weight("R", F.lit(float(std))))
-        rows = rows.withColumn("_up", (F.col("R") > 0).cast("double"))
-        sides = {r[0] for r in rows.select("_up").distinct().collect()}
-        common = dict(maxDepth=self.depth, stepSize=self.rate, weightCol="_w")
-        limit = rounds or {"mean": self.rounds, "sign": self.rounds}
-        if rounds is None:
-            rows = with_holdout(rows, self.holdout, self.seed)
-            common["validationIndicatorCol"] = "_val"
-        # trees offer the absolute loss as the robust one
-        self.mean = GBTRegressor(labelCol="R", lossType="absolute", seed=self.seed, predictionCol="mu", maxIter=limit["mean"], **common).fit(rows)
-        self.sign = None
-        if len(sides) == 2:
-            learner = GBTClassifier(labelCol="_up", seed=self.seed, predictionCol="_side", maxIter=limit["sign"], **common)
-            learner = learner.setProbabilityCol("_prob").setRawPredictionCol("_raw")
-            self.sign = learner.fit(rows)
-        self.best_rounds = {"mean": self.mean.getNumTrees, "sign": self.sign.getNumTrees if self.sign else 1}
-        self.forest = QuantileForest(self.columns, trees=self.trees, seed=self.seed, rows=self.rows, weight="_w").fit(rows.drop("features"))
+        rows = rows.withColumn("_w", economic_weight("R", F.lit(float(std)))).withColumn("folds", F.array(F.lit(-1)))
+        fits = head_fits(rounds or self.rounds, self.patience, self.holdout, seed=self.seed, weight="_w")
+        if self.trees:
+            fits = fits[:2]
+            self.forest = QuantileForest(self.columns, trees=self.trees, seed=self.seed, rows=self.rows, weight="_w").fit(rows)
+        self.model = Booster(self.columns, fits, self.rate, self.depth, min_rows=self.min_rows).fit(rows)
+        self.best_rounds = {name: m.best for name, m in zip(HEADS, self.model.models)}
         return self
 
     def predict(self, df):
-        rows = self.mean.transform(vectors(df, self.columns))
-        if self.sign is not None:
-            rows = self.sign.transform(rows).withColumn("p_up", vector_to_array("_prob")[1])
-        else:
-            rows = rows.withColumn("p_up", F.lit(0.5))
-        out = rows.select("session", "mu", "p_up").join(self.forest.predict(df), "session")
+        out = self.model.predict(df).select("session", F.col("p0").alias("mu"), F.col("p1").alias("p_up"), *([] if self.trees else [F.col(f"p{2 + i}").alias(f"q{i}") for i in range(3)]))
+        if self.trees:
+            out = out.join(self.forest.predict(df), "session")
         return ordered_quantiles(out, self.min_u)
 
     def importance(self, spark):
-        return importance_table(spark, self.mean, self.columns)
+        return _importances(spark, self.columns, self.model.importance(0))
 
 
 def ordered_quantiles(df, min_u=1e-6):
@@ -122,55 +132,70 @@ def ordered_quantiles(df, min_u=1e-6):
     )
 
 
-def cross_validated_heads(df, columns, folds, **options):
+def cross_validated_heads(df, columns, folds, rounds=1500, rate=0.02, depth=6, holdout=0.12, patience=100, min_rows=30, rows=None):
     """Out-of-fold predictions averaged over repeats; the fold id of the first repeat is kept.
 
-    ``folds`` is (seed, session, fold). Returns predictions with ``fold`` and the median
-    number of rounds per head.
+    ``folds`` is (seed, session, fold). All repeats, folds and heads share every pass. Returns
+    predictions with ``fold`` and the median number of rounds per head.
     """
-    out, rounds = None, {}
     ids = sorted((r[0], r[1]) for r in folds.select("seed", "fold").distinct().collect())
-    first = ids[0][0]
-    for seed, fold in ids:
-        inside = folds.where((F.col("seed") == seed) & (F.col("fold") == fold)).select("session")
-        heads = TreeHeads(columns, seed=seed, **options).fit(df.join(inside, "session", "left_anti"))
-        for k, v in heads.best_rounds.items():
-            rounds.setdefault(k, []).append(v)
-        part = heads.predict(df.join(inside, "session", "left_semi"))
-        out = part if out is None else out.unionByName(part)
-    means = out.groupBy("session").agg(
-        *[F.avg(c).alias(c) for c in ("mu", "p_up", "q_lower", "q_median", "q_upper")]
-    )
-    table = means.select(
-        "session", "mu", "p_up", F.col("q_lower").alias("q0"), F.col("q_median").alias("q1"), F.col("q_upper").alias("q2")
-    )
-    own = folds.where(F.col("seed") == first).select("session", "fold")
-    rounds = {k: max(1, round(median(v))) for k, v in rounds.items()}
-    return ordered_quantiles(table).join(own, "session"), rounds
+    seeds = sorted({s for s, _ in ids})
+    lists = folds.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("seed", "fold"))), lambda x: x["fold"]).alias("folds"))
+    labelled = _with_sign(df).join(lists, "session")
+    # the spread of the labels that a fit is grown on sets its weights
+    cells = [(seeds.index(s), k) for s, k in ids]
+    spread = labelled.agg(*[F.stddev_pop(F.when(F.col("folds")[s] != k, F.col("R"))).alias(f"s_{s}_{k}") for s, k in cells]).first()
+    names = {(s, k): f"_w_{s}_{k}" for s, k in cells}
+    labelled = labelled.withColumns({n: economic_weight("R", F.lit(float(spread[f"s_{s}_{k}"] or 0.0))) for (s, k), n in names.items()})
+    fits = [f for s, k in cells for f in head_fits(rounds, patience, holdout, split=s, fold=k, seed=seeds[s], weight=names[s, k])]
+    model = Booster(columns, fits, rate, depth, min_rows=min_rows).fit(labelled)
+    scored = model.predict(labelled, ("session", "folds"))
+    wide = len(HEADS)
+
+    def own(head):
+        """Mean over repeats of the head of the fit that left the row's fold out."""
+        parts = []
+        for s in range(len(seeds)):
+            pick = None
+            for c, (split, k) in enumerate(cells):
+                if split == s:
+                    here = F.col("folds")[s] == k
+                    value = F.col(f"p{c * wide + head}")
+                    pick = F.when(here, value) if pick is None else pick.when(here, value)
+            parts.append(pick)
+        return sum(parts[1:], parts[0]) / len(parts)
+
+    table = scored.select("session", F.col("folds")[0].alias("fold"), own(0).alias("mu"), own(1).alias("p_up"), *[own(2 + i).alias(f"q{i}") for i in range(3)])
+    best = {name: max(1, round(median(m.best for m in model.models[i::wide]))) for i, name in enumerate(HEADS)}
+    return ordered_quantiles(table).join(table.select("session", "fold"), "session"), best
+
+
+def _importances(spark, columns, values, k=None):
+    df = spark.createDataFrame([(c, float(v)) for c, v in zip(columns, values)], "feature string, importance double")
+    df = df.orderBy(F.desc("importance"), "feature")
+    return df if k is None else df.limit(k)
 
 
 def importance_table(spark, model, columns, k=None):
-    """Feature importances, largest first."""
-    rows = [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray())]
-    df = spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
-    return df if k is None else df.limit(k)
+    """Feature importances of a fitted ensemble, largest first."""
+    return _importances(spark, columns, model.featureImportances.toArray(), k)
 
 
-def shift_check(train, test, columns, folds, rounds=100, depth=5, rate=0.05, top=15, seed=0):
-    """Train-versus-test classifier: out-of-fold AUC per fold and overall, and top features."""
+def shift_check(train, test, columns, folds, rounds=400, depth=5, rate=0.03, top=15, seed=0, min_rows=30):
+    """Train-versus-test classifier: out-of-fold AUC per fold and overall, and top features.
+
+    The classifiers of all folds and the one on all rows, which gives the features, share every pass.
+    """
     spark = train.sparkSession
-    both = train.select("session", *columns, F.lit(0.0).alias("side")).unionByName(
-        test.select("session", *columns, F.lit(1.0).alias("side"))
-    )
-    rows = vectors(both, columns).join(folds.select("session", "fold"), "session")
-    learner = GBTClassifier(labelCol="side", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
+    both = train.select("session", *columns, F.lit(0.0).alias("side")).unionByName(test.select("session", *columns, F.lit(1.0).alias("side")))
+    rows = both.join(folds.select("session", "fold"), "session").withColumn("folds", F.array("fold"))
+    ids = sorted(r[0] for r in folds.select("fold").distinct().collect())
+    fits = [Fit("log", "side", fold=k, rounds=rounds, seed=seed) for k in [*ids, None]]
+    model = Booster(columns, fits, rate, depth, min_rows=min_rows).fit(rows)
+    scored = model.predict(rows, ("fold", "side"), range(len(ids)))
+    own = F.coalesce(*[F.when(F.col("fold") == k, F.col(f"p{i}")) for i, k in enumerate(ids)])
+    scored = cut_lineage(scored.select("fold", "side", own.alias("p")))
     auc = BinaryClassificationEvaluator(labelCol="side", rawPredictionCol="p")
-    out, table = None, []
-    for k in sorted(r[0] for r in folds.select("fold").distinct().collect()):
-        fit = learner.fit(rows.where(F.col("fold") != k))
-        part = fit.transform(rows.where(F.col("fold") == k)).select("side", vector_to_array("probability")[1].alias("p"))
-        table.append((f"fold_{k}", float(auc.evaluate(part))))
-        out = part if out is None else out.unionByName(part)
-    table.append(("overall", float(auc.evaluate(out))))
-    final = learner.fit(rows)
-    return spark.createDataFrame(table, "part string, auc double"), importance_table(spark, final, columns, top)
+    table = [(f"fold_{k}", float(auc.evaluate(scored.where(F.col("fold") == k)))) for k in ids]
+    table.append(("overall", float(auc.evaluate(scored))))
+    return spark.createDataFrame(table, "part string, auc double"), _importances(spark, columns, model.importance(len(ids)), top)

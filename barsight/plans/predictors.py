@@ -52,7 +52,7 @@ def tailored(train, test, use_news=False, k=5, seeds=(0, 1), config=None, rows=N
     out = {"ranking": ranking, "oof": oof, "config": used, "importance": heads.importance(labelled.sparkSession)}
     if check_shift:
         both = labelled.select("session").unionByName(target.select("session"))
-        out["shift"] = shift_check(labelled, target, columns, kfold(both, k), rounds=20)
+        out["shift"] = shift_check(labelled, target, columns, kfold(both, k))
     return out
 
 
