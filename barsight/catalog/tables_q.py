@@ -123,7 +123,9 @@ def ranking_sink(m):
     return m.spark.read.schema(schema).json(path)
 
 
-@query("a11_incremental_scoring")
+@query("a11_incremental_scoring", shaped("session:i results:i scored_in_second_run:i first_new_bar:i", """
+SELECT session, count(*) AS results, nullif(count(DISTINCT (bar_ix, headline)) FILTER (bar_ix >= 50), 0) AS scored_in_second_run,
+  min(bar_ix) FILTER (bar_ix >= 50) AS first_new_bar FROM head GROUP BY 1""", "head"))
 def incremental(m):
     path = new_path(m.spark, "cache")
     heads = m.headlines()

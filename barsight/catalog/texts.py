@@ -260,6 +260,14 @@ def history(m):
     return E.history_totals(m.events()).select("event_id", "n_prior", "score_prior", "n_prior_in_session")
 
 
+@query("d09_last_events", shaped("event_id:i back:i prior_event_id:i prior_session:i prior_bar_ix:i prior_score", """
+SELECT * FROM (SELECT a.event_id, row_number() OVER (PARTITION BY a.event_id ORDER BY b.session DESC, b.bar_ix DESC, b.event_id DESC) AS back,
+  b.event_id AS prior_event_id, b.session AS prior_session, b.bar_ix AS prior_bar_ix, b.sentiment_score AS prior_score
+FROM sent a JOIN sent b ON a.company = b.company AND (b.session < a.session OR (b.session = a.session AND b.bar_ix < a.bar_ix))) WHERE back <= 5""", "sent"))
+def last_history(m):
+    return E.last_events(m.events(), 5)
+
+
 BROAD = """CASE WHEN sector IN ('purchase', 'click') THEN 'Industrials' WHEN sector = 'signup' THEN 'Finance' ELSE 'Energy' END"""
 
 

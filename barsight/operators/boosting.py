@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from barsight.session import cut_lineage
 
-BINS = 64
+BINS = 32
 WRITTEN = 10  # rounds between two written score tables
 SALTS = 4  # tasks that may add the sums of one key
 STEPS = 256  # that a leaf's residuals are counted in
@@ -226,7 +226,8 @@ def _summed(rows, width, work, add=np.add):
     if rows.tasks > DIRECT:
         salt = F.pmod(F.xxhash64("m"), F.lit(SALTS))
         parts = parts.repartition(rows.tasks, "k", salt).mapInArrow(merge, "k long, m binary")
-    return _merged({}, parts.collect(), add)
+    got = parts.toArrow()
+    return _merged({}, zip(got.column(0).to_pylist(), got.column(1).to_pylist()), add)
 
 
 class Booster:

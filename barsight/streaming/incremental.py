@@ -1,11 +1,10 @@
 """Incremental scoring: only headlines without a stored result are scored."""
 
-from pyspark.sql import functions as F
+import os
 
 from barsight.operators.events import upsert_results
-from barsight.operators.scoring import score_headlines
-from barsight.session import cut_lineage
-from barsight.sources.tables import read_optional_parquet
+from barsight.operators.scoring import RESULT_SCHEMA, score_headlines
+from barsight.streaming.store import ResultStore
 
 KEYS = ["session", "bar_ix", "headline"]
 
@@ -16,17 +15,16 @@ def pending(headlines, cache):
     return headlines.select(*KEYS).distinct().join(done, KEYS, "left_anti")
 
 
-def score_incrementally(headlines, cache_path, scorer=None, schema=None):
-    """Score what the cache lacks, append it, and return every headline with its result.
+def score_incrementally(headlines, cache_path, scorer=None, schema=None, key=None):
+    """Score what the store at ``cache_path`` lacks, commit it, and return every headline with its result.
 
-    Running it again scores nothing; a lost run leaves the earlier cache intact.
+    Running it again scores nothing. A lost run commits nothing; runs at the same time each commit
+    whole results, and of several results for a headline one is taken. A retried run that gives
+    the same ``key`` is committed once.
     """
     spark = headlines.sparkSession
-    from barsight.operators.scoring import RESULT_SCHEMA
-
-    cache = read_optional_parquet(spark, cache_path, schema or RESULT_SCHEMA)
-    fresh = cut_lineage(score_headlines(pending(headlines, cache), scorer))
-    fresh.write.mode("append").parquet(cache_path)
-    stored = spark.read.schema(schema or RESULT_SCHEMA).parquet(cache_path)
-    scored = upsert_results(headlines, stored)
+    store = ResultStore(spark, cache_path, schema or RESULT_SCHEMA)
+    part = store.stage(score_headlines(pending(headlines, store.read()), scorer))
+    fresh = spark.read.schema(store.schema).parquet(os.path.join(store.path, part))
+    scored = upsert_results(headlines, store.read(store.commit(part, key)))
     return scored.where("sentiment is not null"), fresh
