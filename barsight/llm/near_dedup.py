@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from barsight.llm.components import components
-from barsight.llm.words import STEP, Words, grams, mix, runs, slices
+from barsight.llm.words import STEP, Words, grams, mix, runs, slices, small_batches
 from barsight.session import cut_lineage
 
 SEED = 7
@@ -143,7 +143,7 @@ def near_groups(docs, id_col="doc_id", text_col="text", k=5, percent=80, bands=4
     Empty and null texts have size 0 and are linked with nothing; a null id gives a null
     component and is kept. Rows that repeat an id share its outcome. Other columns are not read.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = cut_lineage(
         text.mapInArrow(

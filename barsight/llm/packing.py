@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Window as W, functions as F
 
+from barsight.llm.words import small_batches
 from barsight.session import cut_lineage
 
 CAPACITY = 2048
@@ -298,6 +299,7 @@ def pack(docs, id_col="doc_id", text_col="text", path=None, capacity=CAPACITY):
     are packed each. Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     pieces = cut_lineage(
         rows.mapInArrow(

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from barsight.llm.words import slices
+from barsight.llm.words import slices, small_batches
 
 WIDTH = 8  # bytes under a filter
 STRIDE = 2
@@ -147,6 +147,13 @@ def held_out(id_column, folds=5):
     return F.coalesce(F.crc32(id_column.cast("string")) % folds == 0, F.lit(False))
 
 
+def fitted(docs, labels, id_col, text_col, label_col, sample):
+    """The network fitted on the sample, as a broadcast."""
+    small_batches(docs.sparkSession)
+    rows = sample_rows(docs, labels, id_col, text_col, label_col, sample).toPandas()
+    return docs.sparkSession.sparkContext.broadcast(fit(rows["text"].tolist(), rows["label"].tolist()))
+
+
 def sample_rows(docs, labels, id_col, text_col, label_col, rows=SAMPLE):
     """At most ``rows`` labelled training texts, those with the smallest id hashes; of longer ones a window."""
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
@@ -171,8 +178,7 @@ def quality_scores(docs, labels, id_col="doc_id", text_col="text", label_col="qu
     the score is the smoothed share of label 1. Conflicting labels of an id count as the larger.
     Null ids are scored. Repeated rows score alike. Other columns are not read.
     """
-    rows = sample_rows(docs, labels, id_col, text_col, label_col, sample).toPandas()
-    net = docs.sparkSession.sparkContext.broadcast(fit(rows["text"].tolist(), rows["label"].tolist()))
+    net = fitted(docs, labels, id_col, text_col, label_col, sample)
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held"))
     out = out.mapInArrow(partial(_scored, net=net), "id long, held boolean, score double")
     return out.select(
@@ -186,8 +192,7 @@ def good_texts(docs, labels, id_col="doc_id", text_col="text", **settings):
     Rows of one id are judged one by one; texts travel through the scoring once, with their row.
     """
     threshold = settings.pop("threshold", 0.3)
-    rows = sample_rows(docs, labels, id_col, text_col, settings.pop("label_col", "quality"), settings.pop("sample", SAMPLE)).toPandas()
-    net = docs.sparkSession.sparkContext.broadcast(fit(rows["text"].tolist(), rows["label"].tolist()))
+    net = fitted(docs, labels, id_col, text_col, settings.pop("label_col", "quality"), settings.pop("sample", SAMPLE))
     return docs.mapInArrow(partial(_accepted, net=net, at=docs.columns.index(text_col), threshold=threshold), docs.schema)
 
 

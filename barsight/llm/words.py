@@ -30,6 +30,14 @@ def mix(x):
     return x
 
 
+def small_batches(spark, size="8m"):
+    """Rows go to Python workers in batches of at most ``size``, however long their texts are.
+
+    A setting of the session, as the batches are cut when the returned table is computed.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def slices(column, size=1 << 20):
     """(first row, bytes, text offsets) for slices of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
