@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from barsight.catalog.base import query, shaped
 from barsight.catalog.features import BASE9, PATH_SQL  # noqa: F401
 from barsight.functions import scalars as S
-from barsight.operators import augment as A, bars as B, emissions as M, hmm as H, labels as L, linear as LN, regimes as RG, rich as R, sampling as G, sizing as Z, topics as TP, trees as TR
-from barsight.plans import predictors as PP, sharpe as SP
+from barsight.operators import augment as A, bars as B, emissions as M, hmm as H, labels as L, linear as LN, regimes as RG, rich as R, sampling as G, sizing as Z, topics as TP, trees as TR, validation as V
+from barsight.plans import audit as AU, predictors as PP, sharpe as SP
 from barsight.session import cut_lineage
 from barsight.sources.market import split_of
 
@@ -398,6 +398,17 @@ def augmented_bars(m):
         F.count(F.lit(1)).alias("bars"), F.max("high").alias("high"), F.min("low").alias("low"))
 
 
+@query("l10_augmentation_audit")
+def augmentation_audit(m):
+    """Fits without augmentation, with proxy rows and with copies, on the same folds of five seeds."""
+    return V.audit_summary(AU.best_points(AU.augmentation_grid(*parts(m), anchors=(0.0, 1.0))))
+
+
+@query("l10_augmentation_deltas")
+def augmentation_deltas(m):
+    return AU.augmentation_deltas(AU.best_points(AU.augmentation_grid(*parts(m), anchors=(0.0, 1.0))))
+
+
 # --- end-to-end predictors ---------------------------------------------------------------
 
 
