@@ -15,6 +15,7 @@ FILTERS = 24
 SAMPLE = 3000  # labelled rows that the network is fitted on, at most
 WINDOW = 40_000  # characters of a drawn text that the network is fitted on, from a place given by its id
 BLOCK = 1 << 13  # halves whose filter outputs are held at once
+PART = 1 << 18  # bytes of a batch whose gradients are taken at once
 STEPS = 600  # of 64 texts each
 
 
@@ -62,7 +63,25 @@ def probability(x, net):
     return 1 / (1 + np.exp(-np.clip(x @ net["weight"] + net["offset"], -30, 30)))
 
 
-def _gradients(buffer, at, label, net):
+def _gradients(raw, label, net):
+    """Gradients of the mean loss of a batch, summed over parts of it that keep filter outputs small."""
+    parts, size = [[]], 0
+    for i, text in enumerate(raw):
+        if size and size + len(text) > PART:
+            parts.append([])
+            size = 0
+        parts[-1].append(i)
+        size += len(text)
+    total = None
+    for part in parts:
+        offsets = np.concatenate([[0], np.cumsum([len(raw[i]) for i in part])])
+        data = np.frombuffer(b"".join(raw[i] for i in part), np.uint8)
+        grad = _part_gradients(*laid_out(data, offsets), label[part], len(raw), net)
+        total = grad if total is None else {k: total[k] + grad[k] for k in grad}
+    return total
+
+
+def _part_gradients(buffer, at, label, rows, net):
     out = responses(buffer, net["table"], net["bias"])
     where = out.argmax(axis=1)
     half = np.take_along_axis(out, where[:, None, :], axis=1)[:, 0, :]
@@ -75,7 +94,7 @@ def _gradients(buffer, at, label, net):
     mean = np.add.reduceat(chunk, starts[:-1], axis=0) / counts[:, None]
     top = np.maximum.reduceat(chunk, starts[:-1], axis=0)
     x = np.concatenate([mean, top], axis=1)
-    error = (probability(x, net) - label) / len(label)
+    error = (probability(x, net) - label) / rows
     back = error[:, None] * net["weight"][None, :]
     f = half.shape[1]
     at_top = (chunk == top[text]).astype(np.float32)  # neighbours share a half, so several chunks may be at the top
@@ -95,7 +114,7 @@ def _gradients(buffer, at, label, net):
 
 
 def fit(texts, labels, steps=STEPS, filters=FILTERS, batch=64, rate=0.01, seed=3):
-    """Adam on the log loss of whole texts. Without both labels the net gives their share."""
+    """Adam on the log loss of whole texts, or their UTF-8 bytes. Without both labels the net gives their share."""
     rng = np.random.default_rng(seed)
     net = {
         "table": rng.normal(0, 0.3, (WIDTH, 256, filters)).astype(np.float32),
@@ -109,7 +128,7 @@ def fit(texts, labels, steps=STEPS, filters=FILTERS, batch=64, rate=0.01, seed=3
     if len(np.unique(y)) < 2:
         net["weight"][:] = 0
         return net
-    raw = [t.encode() for t in texts]
+    raw = [t.encode() if isinstance(t, str) else t for t in texts]
     first = {k: np.zeros_like(v) for k, v in net.items()}
     second = {k: np.zeros_like(v) for k, v in net.items()}
     step = 0
@@ -122,9 +141,7 @@ def fit(texts, labels, steps=STEPS, filters=FILTERS, batch=64, rate=0.01, seed=3
             parts = [group[i : i + batch] for i in range(0, len(group), batch)]
             for p in rng.permutation(len(parts)):
                 chosen = parts[p]
-                offsets = np.concatenate([[0], np.cumsum([len(raw[i]) for i in chosen])])
-                data = np.frombuffer(b"".join(raw[i] for i in chosen), np.uint8)
-                grad = _gradients(*laid_out(data, offsets), y[chosen], net)
+                grad = _gradients([raw[i] for i in chosen], y[chosen], net)
                 step += 1
                 pace = rate * (0.5 if 2 * step >= steps else 1) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for k in net:
@@ -150,8 +167,10 @@ def held_out(id_column, folds=5):
 def fitted(docs, labels, id_col, text_col, label_col, sample):
     """The network fitted on the sample, as a broadcast."""
     small_batches(docs.sparkSession)
-    rows = sample_rows(docs, labels, id_col, text_col, label_col, sample).toPandas()
-    return docs.sparkSession.sparkContext.broadcast(fit(rows["text"].tolist(), rows["label"].tolist()))
+    rows = sample_rows(docs, labels, id_col, text_col, label_col, sample).toArrow()
+    texts, marks = rows["text"].cast(pa.binary()), rows["label"].to_pylist()
+    # views on the Arrow buffers: the driver holds the drawn texts once
+    return docs.sparkSession.sparkContext.broadcast(fit([memoryview(t.as_buffer()) for t in texts], marks))
 
 
 def sample_rows(docs, labels, id_col, text_col, label_col, rows=SAMPLE):

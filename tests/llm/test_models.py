@@ -50,7 +50,9 @@ def test_quality_edge_cases(spark):
     assert quality.good_texts(table(spark), none).collect() == table(spark).collect()
 
 
-def test_gradients_agree_with_differences():
+@pytest.mark.parametrize("part", [quality.PART, 200])
+def test_gradients_agree_with_differences(part, monkeypatch):
+    monkeypatch.setattr(quality, "PART", part)
     rng = np.random.default_rng(5)
     raw = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 3, 130, 700)]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
@@ -67,7 +69,11 @@ def test_gradients_agree_with_differences():
         p = quality.probability(quality.features(buffer, at, net), net)
         return -np.mean(label * np.log(p) + (1 - label) * np.log(1 - p))
 
-    grad = quality._gradients(buffer, at, label, net)
+    grad = quality._gradients(raw, label, net)
+    by_two = quality._gradients(raw[:2], label[:2], net)
+    rest = quality._gradients(raw[2:], label[2:], net)
+    for name in grad:  # a batch in parts has the gradients of the whole batch
+        np.testing.assert_allclose(grad[name], (by_two[name] + rest[name]) / 2, atol=1e-9)
     for name, place in (("table", (2, int(buffer[2]), 1)), ("bias", (0,)), ("weight", (4,))):
         old = net[name][place]
         net[name][place] = old + 1e-6
