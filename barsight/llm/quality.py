@@ -30,13 +30,19 @@ def laid_out(data, offsets):
     return out, at
 
 
-def responses(buffer, table, bias):
-    """Filter outputs at every STRIDE-th byte: (halves, places of a half, filters)."""
+def responses(buffer, table, bias, last):
+    """Filter outputs at every STRIDE-th byte: (halves, places of a half, filters).
+
+    In the ``last`` half of a text the places whose filters would reach into the next text are left
+    out; the filter before them saw only zeros too, so a text's outputs do not depend on what follows.
+    """
     n = (len(buffer) - WIDTH) // STRIDE
     out = np.repeat(bias[None, :], n, axis=0)
     for j in range(WIDTH):
         out += table[j].take(buffer[j : j + n * STRIDE : STRIDE], axis=0)
-    return out.reshape(-1, HALF // STRIDE, len(bias))
+    out = out.reshape(-1, HALF // STRIDE, len(bias))
+    out[last, 1 - WIDTH // STRIDE :] = -np.inf
+    return out
 
 
 def chunk_rows(at):
@@ -51,8 +57,13 @@ def chunk_rows(at):
 
 def features(buffer, at, net):
     """Mean and maximum over a text's chunks of each filter's largest output in the chunk."""
-    blocks = [buffer[a * HALF : (a + BLOCK) * HALF + WIDTH] for a in range(0, at[-1], BLOCK)]
-    half = np.concatenate([np.maximum(responses(b, net["table"], net["bias"]).max(axis=1), 0) for b in blocks])
+    last = at[1:] - 1
+    half = []
+    for a in range(0, at[-1], BLOCK):
+        inside = last[(last >= a) & (last < a + BLOCK)] - a
+        out = responses(buffer[a * HALF : (a + BLOCK) * HALF + WIDTH], net["table"], net["bias"], inside)
+        half.append(np.maximum(out.max(axis=1), 0))
+    half = np.concatenate(half)
     first, second, _, starts = chunk_rows(at)
     chunk = np.maximum(half[first], half[second])
     mean = np.add.reduceat(chunk, starts[:-1], axis=0) / np.diff(starts)[:, None]
@@ -82,7 +93,7 @@ def _gradients(raw, label, net):
 
 
 def _part_gradients(buffer, at, label, rows, net):
-    out = responses(buffer, net["table"], net["bias"])
+    out = responses(buffer, net["table"], net["bias"], at[1:] - 1)
     where = out.argmax(axis=1)
     half = np.take_along_axis(out, where[:, None, :], axis=1)[:, 0, :]
     live = half > 0

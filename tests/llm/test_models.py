@@ -50,6 +50,20 @@ def test_quality_edge_cases(spark):
     assert quality.good_texts(table(spark), none).collect() == table(spark).collect()
 
 
+def test_score_does_not_depend_on_the_next_text():
+    rng = np.random.default_rng(7)
+    net = {"table": rng.normal(0, 1, (quality.WIDTH, 256, 5)), "bias": rng.normal(0, 1, 5)}
+    raw = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 3, 119, 120, 121, 128, 700, 0, 5000)]
+
+    def features(texts):
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+        return quality.features(*quality.laid_out(np.frombuffer(b"".join(texts), np.uint8), offsets), net)
+
+    alone = np.concatenate([features([x]) for x in raw])
+    np.testing.assert_allclose(features(raw), alone)
+    np.testing.assert_allclose(features(raw[::-1]), alone[::-1])
+
+
 @pytest.mark.parametrize("part", [quality.PART, 200])
 def test_gradients_agree_with_differences(part, monkeypatch):
     monkeypatch.setattr(quality, "PART", part)
