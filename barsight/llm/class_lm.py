@@ -15,10 +15,10 @@ ADD = 0.1  # added to every word count
 ADD_CLASS = 0.5  # added to every class transition
 HEAD = 1 << 15  # most frequent words, which the driver puts into classes
 CLASSES = 48
-PASSES = 2  # of the driver over these words
+PASSES = 4  # of the driver over these words
 FIRST = 2048  # words of the head that move one by one
 TOGETHER = 64  # other words of the head that move at once
-RISE = 2e-3  # likelihood per token (nats) below which a round does not count as a rise
+RISE = 1e-3  # likelihood per token (nats) below which a round does not count as a rise
 LEAST_SHARE = 8  # rounds end if not even one in so many words can move with a rise
 HELD = 1 << 21
 STOP = np.uint64(0x5851F42D4C957F2D)  # hash of the end token, which is no word
